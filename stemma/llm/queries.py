@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, packing
 
 QUERIES = {
+    "op2_pack": packing.op2_pack,
     "op8_chat": chat.op8_chat,
 }
 ORACLE_SQL = {
