@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, packing
+from . import chat, packing, quality
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
+    "op5_quality": quality.op5_quality,
     "op8_chat": chat.op8_chat,
 }
 ORACLE_SQL = {
