@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import archive, chat, packing, quality
+from . import archive, chat, decontamination, packing, quality
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
     "op5_quality": quality.op5_quality,
+    "op6_decontaminate": decontamination.op6_decontaminate,
     "op8_chat": chat.op8_chat,
     "op10_warc": archive.op10_warc,
 }
 ORACLE_SQL = {
+    "op6_decontaminate": decontamination.OP6_SQL,
     "op8_chat": chat.OP8_SQL,
     "op10_warc": archive.OP10_SQL,
 }
