@@ -13,15 +13,20 @@ are packed each on its own. An empty table gives no rows. Only doc_id and text a
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import slices, text_buffers, written
 
@@ -29,41 +34,84 @@ MAX_TOKENS = 4096
 END_TOKEN = 1
 #: Tasks that share the ranks of one length.
 SALTS = 64
-#: Encoded words that a worker remembers, and the longest of them; longer ones are encoded each time.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: Entries of each of a worker's two tables of known ids, and the longest key; longer ones are encoded each time.
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-# White space of str.split that isn't white space to the tokenizer, and what may start a special token.
+# White space to str.split that isn't white space to the tokenizer.
 _OTHER_SPACE = re.compile("[\x1c-\x1f]")
+# Below this character NFC changes nothing and lower case is by character, as the tokenizer takes it.
+_PLAIN = "\u0250"
+_MARK = struct.Struct("<I")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that byte-level vocabularies use for each byte."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Known(dict):
+    """A table filled on demand, emptied when it is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[key] = value
+        return value
 
 
 class WordEncoder:
-    """Ids as little-endian 32-bit bytes. The tokenizer's words never span white space, so ids are remembered by run of other characters."""
+    """Ids as little-endian 32-bit bytes, equal to the tokenizer's.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Its words never span white space, so ids are remembered by run of other characters, and for plain runs by word:
+    the tokenizer's own split pattern makes the words and its model their ids. Other runs, and texts with special
+    tokens, go through the whole tokenizer. Vocabularies of another make always do.
+    """
 
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [None if _OTHER_SPACE.search(x) or any(s in x for s in self.special) else x.split() for x in texts]
-        new = set().union(*(r for r in runs if r)).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = set().union(*(r for r in runs if r))
-        order = sorted(new)
-        for i in range(0, len(order), 20_000):
-            self.known.update(zip(part := order[i : i + 20_000], self._ids(part), strict=True))
-        out = [self._ids([x])[0] if r is None else b"".join(map(self.known.__getitem__, r)) for x, r in zip(texts, runs, strict=True)]
-        for w in order:
-            if len(w) > CACHE_CHARS:
-                del self.known[w]
-        return out
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers") or []]
+        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"]
+        self.words = regex.compile(splits[0]["pattern"]["Regex"]).findall if self.by_word else None
+        self.alphabet = _byte_alphabet()
+        self.model = self.tokenizer.model.tokenize
+        self.word_ids = _Known(self._word)
+        self.run_ids = _Known(self._run)
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([_MARK.pack(t.id) for t in self.model(mapped)])
+
+    def _run(self, run: str) -> bytes:
+        if run.isascii() or max(run) < _PLAIN:
+            return b"".join(map(self.word_ids.__getitem__, self.words(run.lower())))
+        return self._whole(run)
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_word or _OTHER_SPACE.search(text) or any(s in text for s in self.special):
+            return self._whole(text)
+        return b"".join(map(self.run_ids.__getitem__, text.split()))
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """One for each worker, whatever the number of its tasks."""
+    return WordEncoder(path)
 
 
 def tokenized_pieces(documents: DataFrame, tokenizer: str, size: int = MAX_TOKENS, end: int = END_TOKEN, with_ids: bool = False) -> DataFrame:
@@ -71,14 +119,14 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, size: int = MAX_TOKEN
     last = np.asarray([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
             for i, j in slices(offsets):
                 ids = batch.column(0).slice(i, j - i).to_pylist()
                 rows: list[list] = [[] for _ in range(6)]
-                for doc_id, b in zip(ids, encoder.encode([x or "" for x in batch.column(1).slice(i, j - i).to_pylist()]), strict=True):
-                    b += last
+                for doc_id, text in zip(ids, batch.column(1).slice(i, j - i).to_pylist(), strict=True):
+                    b = encoder.encode(text or "") + last
                     for k, at in enumerate(range(0, len(b), 4 * size)):
                         part = b[at : at + 4 * size]
                         for column, v in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None), strict=True):
