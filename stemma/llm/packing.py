@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
@@ -34,15 +35,14 @@ MAX_TOKENS = 4096
 END_TOKEN = 1
 #: Tasks that share the ranks of one length.
 SALTS = 64
-#: Entries of each of a worker's two tables of known ids, and the longest key; longer ones are encoded each time.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+#: Entries of a worker's table of known ids, and the longest key; longer ones are encoded each time.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # White space to str.split that isn't white space to the tokenizer.
 _OTHER_SPACE = re.compile("[\x1c-\x1f]")
 # Below this character NFC changes nothing and lower case is by character, as the tokenizer takes it.
 _PLAIN = "\u0250"
-_MARK = struct.Struct("<I")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -52,60 +52,57 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Known(dict):
-    """A table filled on demand, emptied when it is full."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[key] = value
-        return value
-
-
-class WordEncoder:
+class WordEncoder(dict):
     """Ids as little-endian 32-bit bytes, equal to the tokenizer's.
 
-    Its words never span white space, so ids are remembered by run of other characters, and for plain runs by word:
-    the tokenizer's own split pattern makes the words and its model their ids. Other runs, and texts with special
-    tokens, go through the whole tokenizer. Vocabularies of another make always do.
+    Its words never span white space, so ids are remembered by run of other characters; a plain run is put together
+    from its words, which the tokenizer's own split pattern makes and its model turns to ids. Other runs, and texts
+    with special tokens, go through the whole tokenizer. Vocabularies of another make always do. The table is filled on
+    demand and emptied when it is full.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers") or []]
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"]
+        self.by_word = sys.byteorder == "little" and kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"]
         self.words = regex.compile(splits[0]["pattern"]["Regex"]).findall if self.by_word else None
         self.alphabet = _byte_alphabet()
         self.model = self.tokenizer.model.tokenize
-        self.word_ids = _Known(self._word)
-        self.run_ids = _Known(self._run)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.alphabet)
-        return b"".join([_MARK.pack(t.id) for t in self.model(mapped)])
+        return array("I", [t.id for t in self.model(mapped)]).tobytes()
 
-    def _run(self, run: str) -> bytes:
+    def __missing__(self, run: str) -> bytes:
+        """Of a run without white space, or of a word of a plain run."""
         if run.isascii() or max(run) < _PLAIN:
-            return b"".join(map(self.word_ids.__getitem__, self.words(run.lower())))
-        return self._whole(run)
+            low = run.lower()
+            if low.isalpha():
+                ids = self._word(low) if low == run else self[low]
+            elif low[-1] in ".," and low[:-1].isalpha():
+                ids = self[low[:-1]] + self._word(low[-1])
+            else:
+                ids = b"".join([self[x] if x.isalpha() else self._word(x) for x in self.words(low)])
+        else:
+            ids = self._whole(run)
+        if len(run) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[run] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or _OTHER_SPACE.search(text) or any(s in text for s in self.special):
             return self._whole(text)
-        return b"".join(map(self.run_ids.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 @cache
