@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import archive, chat, decontamination, neardup, packing, quality
+from . import archive, chat, decontamination, extraction, neardup, packing, quality
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
     "op3_jaccard_join": neardup.op3_jaccard_join,
+    "op4_extract": extraction.op4_extract,
     "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontamination.op6_decontaminate,
     "op8_chat": chat.op8_chat,
