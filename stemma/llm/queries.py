@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, chat, decontamination, extraction, neardup, packing, quality
+from . import archive, chat, decontamination, extraction, neardup, packing, pii, quality
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_extract": extraction.op4_extract,
     "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontamination.op6_decontaminate,
+    "op7_pii": pii.op7_pii,
     "op8_chat": chat.op8_chat,
     "op10_warc": archive.op10_warc,
 }
