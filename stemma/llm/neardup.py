@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY, band_hashes, bands_for, minhash, mix, shingle_hashes, slices, text_buffers, word_hashes, written
@@ -55,8 +55,13 @@ def set_keys(grams: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return out
 
 
+def text_key() -> Column:
+    """Tells apart rows of one doc_id and different texts."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def signatures(documents: DataFrame, similarity: float, n: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, node (null without n-grams), n_grams, bands."""
+    """doc_id, text_key, node (null without n-grams), n_grams, bands."""
     bands = bands_for(similarity, RECALL, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,10 +76,12 @@ def signatures(documents: DataFrame, similarity: float, n: int = SHINGLE_WORDS)
                     found[has] = band_hashes(minhash(grams, np.append(at[:-1][has], len(grams)), bands * ROWS), ROWS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * (j - i) + 1, bands), pa.int32()), pa.array(found.ravel()))
                 keys = pa.array([k or None for k in set_keys(grams, at)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), keys, pa.array(np.diff(at)), lists], names=["doc_id", "node", "n_grams", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), keys, pa.array(np.diff(at)), lists], names=["doc_id", "text_key", "node", "n_grams", "bands"]
+                )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node binary, n_grams long, bands array<long>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, node binary, n_grams long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,12 +224,8 @@ def verified(texts: DataFrame, similarity: float, n: int = SHINGLE_WORDS) -> Dat
     return texts.mapInArrow(run, "node binary, n_links long, other binary")
 
 
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, class_id, copy_id, n_links, n_copies for each document.
-
-    class_id is the least doc_id linked to it, directly or by way of others; copy_id that of its copies; n_links the
-    number of other documents at least as similar, n_copies of those that are copies.
-    """
+def classified(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all documents, and a table of nodes: node, copy_id, copies, root (of its class), links."""
     signed = written(signatures(documents, similarity, n), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
@@ -250,8 +253,17 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, n: int
     classes = components(links.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.where("other is null").groupBy("node").agg(F.sum("n_links").alias("links"))
     labelled = nodes.select("node", "copy_id", "copies").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = labelled.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    table = labelled.join(named, "root").join(counts, "node", "left")
+    return signed, written(labelled.join(counts, "node", "left"), "classes")
+
+
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, class_id, copy_id, n_links, n_copies for each document.
+
+    class_id is the least doc_id linked to it, directly or by way of others; copy_id that of its copies; n_links the
+    number of other documents at least as similar, n_copies of those that are copies.
+    """
+    signed, labelled = classified(documents, similarity, n)
+    table = labelled.join(labelled.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root")
     out = signed.select("doc_id", "node").join(table, "node", "left")
     alone = F.col("node").isNull()
     return out.select(
@@ -263,5 +275,25 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, n: int
     )
 
 
+def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The document of least doc_id of each class, with all its columns; texts without n-grams all stay."""
+    signed, labelled = classified(documents, similarity)
+    rows = signed.select("doc_id", "text_key", "node").join(labelled.select("node", "root"), "node", "left")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    chosen = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(key.alias("key"))).alias("m")).select("m.key.doc_id", "m.key.text_key")
+    bare = rows.where("root is null").select("doc_id", "text_key").distinct()
+    chosen = written(chosen, "chosen")
+    repeated = signed.where("node is not null").join(chosen.withColumnRenamed("doc_id", "_id"), (F.col("_id").eqNullSafe(F.col("doc_id"))) & (signed["text_key"] == chosen["text_key"]), "left_semi")
+    repeated = repeated.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    keys = chosen.unionByName(bare).select(F.col("doc_id").cast(documents.schema["doc_id"].dataType).alias("_id"), F.col("text_key").alias("_key"))
+    kept = documents.withColumn("_text_key", text_key())
+    kept = kept.join(keys, kept["doc_id"].eqNullSafe(keys["_id"]) & (kept["_text_key"] == keys["_key"]), "left_semi")
+    if repeated:
+        # Wholly equal keys: one row of each; bare texts stay as they are.
+        has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.where(has_words).dropDuplicates(["doc_id", "_text_key"]).unionByName(kept.where(~F.coalesce(has_words, F.lit(False))))
+    return kept.select(*documents.columns)
+
+
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
