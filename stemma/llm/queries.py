@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import archive, chat, decontamination, extraction, neardup, packing, pii, quality
+from . import archive, chat, decontamination, extraction, licences, neardup, packing, pii, quality
 
 QUERIES = {
+    "op1_licences": licences.op1_licences,
     "op2_pack": packing.op2_pack,
     "op3_jaccard_join": neardup.op3_jaccard_join,
     "op4_extract": extraction.op4_extract,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_warc": archive.op10_warc,
 }
 ORACLE_SQL = {
+    "op1_licences": licences.OP1_SQL,
     "op6_decontaminate": decontamination.OP6_SQL,
     "op8_chat": chat.OP8_SQL,
     "op10_warc": archive.OP10_SQL,
