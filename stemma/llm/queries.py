@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, chat, decontamination, extraction, licences, neardup, packing, pii, quality
+from . import archive, chat, decontamination, extraction, licences, neardup, packing, pii, quality, substrings
 
 QUERIES = {
     "op1_licences": licences.op1_licences,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontaminate": decontamination.op6_decontaminate,
     "op7_pii": pii.op7_pii,
     "op8_chat": chat.op8_chat,
+    "op9_repeats": substrings.op9_repeats,
     "op10_warc": archive.op10_warc,
 }
 ORACLE_SQL = {
