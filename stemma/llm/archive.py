@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import mapped, scratch, written
 
 #: Payloads below this size are never written as revisits.
 LEAST_REVISIT = 100
@@ -270,7 +270,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = LEAST_REV
             yield flush()
 
     out = rows.select("page_id", "url", "html", "digest", "size", "kind", F.when(F.col("kind") == "revisit", F.col("first.page_id")).alias("refers_to"))
-    packages = out.mapInArrow(write, "path string, bytes long, records long")
+    packages = mapped(out, write, "path string, bytes long, records long")
     return written(packages, "packages")
 
 
@@ -295,7 +295,7 @@ def read_archives(packages: DataFrame) -> DataFrame:
                         column.append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-    return packages.select("path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return mapped(packages.select("path"), read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Texts are hashed in slices of about so many bytes, which bounds a worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch between the JVM and a worker; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+_BATCH_ROWS, _BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 # -- scratch tables ---------------------------------------------------------------------------
@@ -42,6 +46,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# -- Arrow batches ------------------------------------------------------------------------------
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of few rows and bytes, which bounds memory on both sides; the session's own limits hold if they are lower."""
+    conf = df.sparkSession.conf
+    for key, most in ((_BATCH_ROWS, BATCH_ROWS), (_BATCH_BYTES, BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not 0 < int(re.sub(r"\D", "", now) or 0) * (1 << 20 if now[-1:] in "mM" else 1) <= most:
+            conf.set(key, str(most))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
+
+
 # -- words and shingles as hashes -------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

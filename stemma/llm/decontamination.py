@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, bands_for, minhash, shingle_hashes, slices, text_buffers, word_hashes
+from .common import SHINGLE_WORDS, SIMILARITY, bands_for, mapped, minhash, shingle_hashes, slices, text_buffers, word_hashes
 
 RECALL = 0.9999
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
@@ -161,7 +161,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
                         names=["doc_id", "item_id", "n_shared", "n_shingles", "containment"],
                     )
 
-        found = rows.mapInArrow(run, SCHEMA)
+        found = mapped(rows, run, SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else documents.sparkSession.createDataFrame([], SCHEMA)
 
@@ -178,7 +178,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, similarity: fl
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = mapped(documents, run, documents.schema)
     return documents
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
 PATH_CHARS = 400
 #: Paths that a page votes for.
@@ -265,7 +265,7 @@ def path_votes(pages: DataFrame) -> DataFrame:
             )
 
     rows = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
+    return mapped(rows, run, "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
 
 
 def winning_paths(votes: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h, w) if h else "" for h, w in zip(html.to_pylist(), winner.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "winner").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return mapped(rows.select("page_id", "url", "html", "winner"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op4_extract(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, band_hashes, bands_for, minhash, mix, shingle_hashes, slices, text_buffers, word_hashes, written
+from .common import SHINGLE_WORDS, SIMILARITY, band_hashes, bands_for, mapped, minhash, mix, shingle_hashes, slices, text_buffers, word_hashes, written
 
 ROWS, RECALL = 4, 0.9999
 BLOCK_NODES, BLOCK_GRAMS = 512, 1 << 20
@@ -81,7 +81,7 @@ def signatures(documents: DataFrame, similarity: float, n: int = SHINGLE_WORDS)
                 )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, node binary, n_grams long, bands array<long>")
+    return mapped(rows, run, "doc_id long, text_key long, node binary, n_grams long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def verified(texts: DataFrame, similarity: float, n: int = SHINGLE_WORDS) -> Dat
                 names=["node", "n_links", "other"],
             )
 
-    return texts.mapInArrow(run, "node binary, n_links long, other binary")
+    return mapped(texts, run, "node binary, n_links long, other binary")
 
 
 def classified(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:

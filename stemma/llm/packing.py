@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices, text_buffers, written
+from .common import mapped, slices, text_buffers, written
 
 MAX_TOKENS = 4096
 END_TOKEN = 1
@@ -133,7 +133,7 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, size: int = MAX_TOKEN
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, _PIECES + (", ids array<int>" if with_ids else ""))
+    return mapped(rows, run, _PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def plan(histogram: dict[int, int], size: int = MAX_TOKENS) -> list[tuple[int, list[int]]]:
@@ -231,7 +231,7 @@ def pack(pieces: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
     ranked = salted.withColumn("_row", row.cast("long")).join(F.broadcast(first.drop("n")), ["length", "_salt"])
     columns = [c for c in pieces.columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return ranked.select(*columns, "_first", "_row").mapInArrow(look_up, schema)
+    return mapped(ranked.select(*columns, "_first", "_row"), look_up, schema)
 
 
 def default_tokenizer() -> str:

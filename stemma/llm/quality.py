@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, span_hashes, text_buffers, word_bounds
+from .common import mapped, mix, slices, span_hashes, text_buffers, word_bounds
 
 SAMPLE, SAMPLE_CHARS, MIN_LABELLED = 400, 50_000, 20
 EPOCHS, RATE, DECAY, PRIOR = 150, 0.1, 1e-3, 1.0
@@ -283,7 +283,7 @@ def quality(documents: DataFrame, field: Field | None) -> DataFrame:
                 out = judge(batch.column(1), field)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k]) for k in out)], names=["doc_id", *out])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCHEMA)
 
 
 def keep_good(documents: DataFrame, field: Field | None) -> DataFrame:
@@ -294,7 +294,7 @@ def keep_good(documents: DataFrame, field: Field | None) -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(judge(pc.cast(batch.column("text"), pa.large_string()), field)["kept"]))
 
-    return documents.mapInArrow(run, documents.schema)
+    return mapped(documents, run, documents.schema)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

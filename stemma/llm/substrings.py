@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power_tables, mix, written
+from .common import mapped, mix, _power_tables, written
 
 LENGTH, GRAM = 400, 128
 #: Distinct texts of a group that are compared in one task, and texts that are compared at once.
@@ -229,7 +229,7 @@ def _all_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
         keys = pa.array(np.repeat(np.asarray([k for _, k, _ in held], np.int64), n))
         return pa.RecordBatch.from_arrays([ids, keys, *(pa.array(np.concatenate([part[i] for _, _, part in held]).astype(np.int64)) for i in range(6))], names=["doc_id", "text_key", *names])
 
-    return rows.mapInArrow(run, f"{_PLACE}, " + ", ".join(f"`{x}` long" for x in names))
+    return mapped(rows, run, f"{_PLACE}, " + ", ".join(f"`{x}` long" for x in names))
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -244,7 +244,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t.as_buffer()) for t in batch.column(2)], pa.binary())], names=["doc_id", "text_key", "packed"])
 
-    return rows.mapInArrow(run, f"{_PLACE}, packed binary")
+    return mapped(rows, run, f"{_PLACE}, packed binary")
 
 
 def _unpack(packed: bytes) -> bytes:
@@ -277,7 +277,7 @@ def _cut_texts(jobs: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return jobs.mapInArrow(run, f"{_PLACE}, `group` long, first long, alone boolean, string long, text binary")
+    return mapped(jobs, run, f"{_PLACE}, `group` long, first long, alone boolean, string long, text binary")
 
 
 def _compared(texts: DataFrame, length: int) -> DataFrame:
@@ -307,7 +307,7 @@ def _compared(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield compare()
 
-    return texts.select("doc_id", "text_key", "group", "first", "alone", "text").mapInArrow(run, f"{_PLACE}, start long, end long")
+    return mapped(texts.select("doc_id", "text_key", "group", "first", "alone", "text"), run, f"{_PLACE}, start long, end long")
 
 
 def _removed(documents: DataFrame, keep_text: bool) -> DataFrame:
@@ -335,7 +335,7 @@ def _removed(documents: DataFrame, keep_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(arrays)])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    return documents.select("doc_id", "packed", "spans").mapInArrow(run, schema)
+    return mapped(documents.select("doc_id", "packed", "spans"), run, schema)
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
