@@ -96,7 +96,7 @@ def cells_by_column(marks: Column, columns: Column, tolerance: float = 4.5) -> C
 
 def repaired_by_lexicon(damaged: DataFrame, lexicon: DataFrame, key: str, pattern: str, word: str) -> DataFrame:
     """damaged with `repaired`: the only word of its key's lexicon that fits the pattern, else null."""
-    hits = damaged.join(lexicon.select(key, F.col(word).alias("_word")).distinct(), key).where(F.col("_word").isNotNull() & F.lower("_word").rlike(F.col(pattern)))
+    hits = damaged.join(lexicon.select(key, F.col(word).alias("_word")).distinct(), key).where(F.col("_word").isNotNull() & F.rlike(F.lower("_word"), F.col(pattern)))
     one = hits.groupBy(key, pattern).agg(F.min("_word").alias("_low"), F.max("_word").alias("_high")).where("_low = _high")
     return damaged.join(one.select(key, pattern, F.col("_low").alias("repaired")), [key, pattern], "left")
 
