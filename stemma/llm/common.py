@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words per shingle and least Jaccard similarity or containment of near copies.
 SHINGLE_WORDS = 5
@@ -46,6 +47,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# -- rows with all their columns ----------------------------------------------------------------
+
+
+def bundled(documents: DataFrame, *columns: Column) -> DataFrame:
+    """The given columns beside each whole row in one struct, so that no column of the table can clash with an operator's own."""
+    return documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_doc"), *columns)
+
+
+def unbundled(rows: DataFrame, documents: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of documents again, some of them replaced."""
+    return rows.select(*((replaced[c] if c in replaced else F.col("_doc")[c]).alias(c) for c in documents.columns))
+
+
 # -- Arrow batches ------------------------------------------------------------------------------
 
 

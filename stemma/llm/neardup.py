@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, band_hashes, bands_for, mapped, minhash, mix, shingle_hashes, slices, text_buffers, word_hashes, written
+from .common import SHINGLE_WORDS, SIMILARITY, band_hashes, bands_for, bundled, mapped, minhash, mix, shingle_hashes, slices, text_buffers, unbundled, word_hashes, written
 
 ROWS, RECALL = 4, 0.9999
 BLOCK_NODES, BLOCK_GRAMS = 512, 1 << 20
@@ -286,13 +286,13 @@ def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     repeated = signed.where("node is not null").join(chosen.withColumnRenamed("doc_id", "_id"), (F.col("_id").eqNullSafe(F.col("doc_id"))) & (signed["text_key"] == chosen["text_key"]), "left_semi")
     repeated = repeated.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     keys = chosen.unionByName(bare).select(F.col("doc_id").cast(documents.schema["doc_id"].dataType).alias("_id"), F.col("text_key").alias("_key"))
-    kept = documents.withColumn("_text_key", text_key())
+    kept = bundled(documents, F.col("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("_text_key"))
     kept = kept.join(keys, kept["doc_id"].eqNullSafe(keys["_id"]) & (kept["_text_key"] == keys["_key"]), "left_semi")
     if repeated:
         # Wholly equal keys: one row of each; bare texts stay as they are.
-        has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-        kept = kept.where(has_words).dropDuplicates(["doc_id", "_text_key"]).unionByName(kept.where(~F.coalesce(has_words, F.lit(False))))
-    return kept.select(*documents.columns)
+        has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        kept = kept.where(has_words).dropDuplicates(["doc_id", "_text_key"]).unionByName(kept.where(~has_words))
+    return unbundled(kept, documents)
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bundled, unbundled, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
@@ -248,14 +248,15 @@ def mask(documents: DataFrame) -> DataFrame:
     extra = discovered(documents, _measured(documents))
     extra = extra.select(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key"), "_found")
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.withColumn("_text_key", F.xxhash64(t, F.reverse(t)))
+    rows = bundled(documents, F.col("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(t, F.reverse(t)).alias("_text_key"))
     rows = rows.join(extra, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_text_key") == F.col("_key")), "left")
     rows = base_spans(rows, "text").withColumn("_spans", ordered(F.concat("_base", F.coalesce("_found", F.array().cast(_SPANS)))))
     rows = rows.withColumn("text", F.when(F.size("_spans") > 0, _masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    replaced = {"text": F.col("text")}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(*documents.columns)
+        replaced["n_chars"] = F.when(F.size("_spans") > 0, F.length("text").cast(kind)).otherwise(F.col("_doc.n_chars"))
+    return unbundled(rows, documents, **replaced)
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
