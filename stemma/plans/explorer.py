@@ -148,3 +148,13 @@ def page(template: str, triples: DataFrame, queries: dict[str, tuple[str, DataFr
         + json.dumps([dict(name=n, sparql=text, header=df.columns, rows=[list(r) for r in as_strings(df).collect()]) for n, (text, df) in queries.items()], ensure_ascii=False, separators=(",", ":")).replace("</", "<\\/"),
     ]
     return template.replace(mark, "{" + ",".join(parts) + "}")
+
+
+def translated(template: str, pairs: dict[str, str]) -> str:
+    """The template with texts replaced, longer ones first; each must be there."""
+    missing = [k for k in pairs if k not in template]
+    if missing:
+        raise KeyError(f"not in the template: {missing}")
+    for k in sorted(pairs, key=len, reverse=True):
+        template = template.replace(k, pairs[k])
+    return template

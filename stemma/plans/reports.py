@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..operators.ordered import between_captions
 from ..operators.relational import first_with_prefix, joined_set, last_values, matched_positions, scores, sorensen
 from .checklist import UNRESOLVED
 
@@ -142,3 +143,25 @@ def verbatim(names_found: DataFrame, texts: DataFrame) -> DataFrame:
     stem = F.split_part(F.regexp_replace("name", r"sp\.\d+$", "sp"), F.lit(" sp"), F.lit(1))
     rows = names_found.join(texts, "source").withColumn("_in", F.contains("text", stem))
     return rows.groupBy("source", "variant").agg(F.count("*").alias("records"), F.count_if("_in").alias("canonical_found_verbatim"))
+
+
+def regex_predictions(lines: DataFrame, registry: DataFrame, method: str) -> DataFrame:
+    """source, method, name: binomials between a table's caption and the next, or in the whole text where the caption isn't found; lines (source, line_no, line)."""
+    rows = lines.join(registry.select(F.col("id").alias("source"), "table"), "source")
+    marked = rows.withColumn("_begin", F.rlike("line", F.col("table")))
+    found = marked.groupBy("source").agg(F.max("_begin").alias("_found"))
+    inside = between_captions(marked, ["source"], "line_no", F.col("_begin"), F.col("line").rlike(r"^\s*(?:Bảng \d+\.|Ghi chú)"))
+    whole = marked.join(found.where(~F.col("_found")), "source", "left_semi")
+    texts = inside.unionByName(whole).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return texts.select("source", F.lit(method).alias("method"), F.explode(names.binomials(F.array_join(F.col("l.line"), "\n"))).alias("name"))
+
+
+def merging(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """Records of each variant (source, variant, n, raw_name, name), how many lack a binomial, and how many equal the gold name (source, n, name) in their place; null unless the numbers agree."""
+    sizes = gold.groupBy("source").agg(F.count("*").alias("_gold"))
+    rows = predicted.join(gold.withColumnRenamed("name", "_name"), ["source", "n"], "left")
+    counts = rows.groupBy("source", "variant").agg(
+        F.count("*").alias("records"), F.count_if(F.col("name") == F.col("_name")).alias("_equal"), F.count_if(~F.col("raw_name").rlike("^[A-Z][a-z]+ ")).alias("records_without_binomial")
+    )
+    out = counts.join(sizes, "source", "left")
+    return out.select("source", "variant", "records", F.when(F.col("records") == F.col("_gold"), F.col("_equal")).alias("names_equal_reference"), "records_without_binomial")

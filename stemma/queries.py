@@ -546,9 +546,71 @@ def report_scores(spark, d):
     return reports.name_scores(predicted, docs.where("n_chars > 2000").select("source", F.col("lang").alias("name")))
 
 
+@query(
+    """WITH x AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'FUZZY' WHEN 2 THEN 'HIGHERRANK' ELSE 'NONE' END AS m, CASE WHEN p_size % 3 = 0 THEN 'GENUS' WHEN p_size % 3 = 1 THEN 'SPECIES' END AS r,
+  CASE WHEN p_size % 5 = 0 THEN 'SYNONYM' ELSE 'ACCEPTED' END AS s, p_size > 25 AS open FROM part)
+SELECT p_partkey, CASE WHEN m = 'NONE' THEN 'none' WHEN open AND r <> 'GENUS' THEN 'higherrank' WHEN NOT open AND m = 'HIGHERRANK' THEN 'higherrank' WHEN s = 'SYNONYM' THEN 'synonym' WHEN m = 'FUZZY' THEN 'fuzzy' ELSE 'exact' END AS match FROM x"""
+)
+def fn_match_class(spark, d):
+    size = F.col("p_size")
+    kind = F.when(size % 4 == 0, "EXACT").when(size % 4 == 1, "FUZZY").when(size % 4 == 2, "HIGHERRANK").otherwise("NONE")
+    rank = F.when(size % 3 == 0, "GENUS").when(size % 3 == 1, "SPECIES")
+    answer = F.struct(kind.alias("matchType"), rank.alias("rank"), F.when(size % 5 == 0, "SYNONYM").otherwise("ACCEPTED").alias("status"))
+    return table(spark, d, "part").select("p_partkey", names.match_class(answer, size > 25).alias("match"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'glyph_unrepaired' WHEN p_size % 5 = 1 THEN 'rejected_fuzzy' WHEN p_size >= 40 AND lower(left(p_type, 5)) = lower(left(p_brand, 5)) THEN 'spelling_variant' ELSE 'classification' END AS kind,
+  CASE WHEN p_size % 5 = 0 THEN '^' || lower(p_brand[1:5]) || '[a-z]{1,4}' || 'x$' END AS pattern FROM part"""
+)
+def fn_conflict_kind(spark, d):
+    size = F.col("p_size")
+    damaged = F.when(size % 5 == 0, F.concat(F.substring("p_brand", 1, 5), F.lit(" x"))).otherwise(F.replace("p_type", F.lit(" "), F.lit("")))
+    kind = names.conflict_kind(damaged, F.col("p_brand"), size / 50, F.when(size % 5 == 1, "fuzzy_rejected").otherwise("exact"))
+    return table(spark, d, "part").select("p_partkey", kind.alias("kind"), F.when(size % 5 == 0, names.gap_pattern(damaged)).alias("pattern"))
+
+
+_B = knowledge.BASE
+
+
+@query(
+    f"""SELECT '<{_B}resource/nation/' || n_nationkey || '> <{_B}ontology#in> <{_B}resource/region/' || n_regionkey || '> .' AS value FROM nation
+UNION ALL SELECT '<{_B}resource/region/' || r_regionkey || '> <{knowledge.RDFS}label> "' || r_name || '"@en .' FROM region"""
+)
+def graph_ntriples(spark, d):
+    lines = graph.ntriples(_triples(spark, d))
+    return lines.where(F.col("value").rlike(r"/nation/\d+> <[^>]*#in>|@en \.$"))
+
+
+@query(
+    """WITH e AS (SELECT p_type AS grp, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE 'y' END AS place, p_name AS canonical, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS accepted FROM part),
+s AS (SELECT DISTINCT grp, place, 'canonical' AS names, canonical AS name FROM e UNION SELECT DISTINCT grp, place, 'accepted', accepted FROM e),
+h AS (SELECT grp, names, name, bool_or(place = 'x') AS a, bool_or(place = 'y') AS b FROM s GROUP BY ALL)
+SELECT grp AS "group", 'x' AS a, 'y' AS b, names, count_if(a)::BIGINT AS n_a, count_if(b)::BIGINT AS n_b, count_if(a AND b)::BIGINT AS shared, round_even(2 * count_if(a AND b) / (count_if(a) + count_if(b)), 3) AS sorensen FROM h GROUP BY grp, names"""
+)
+def report_overlap(spark, d):
+    part = table(spark, d, "part")
+    rows = part.select(
+        F.col("p_type").alias("group"), F.when(F.col("p_partkey") % 3 == 0, "x").otherwise("y").alias("waterbody"), F.col("p_name").alias("canonical"), F.lit(False).alias("is_morphospecies"), F.lit(False).alias("is_higher_taxon"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("gbif_accepted"), F.col("p_name").alias("gbif_name"), F.lit("exact").alias("gbif_match"),
+    )
+    pairs = part.select(F.col("p_type").alias("group")).distinct().select("group", F.lit("x").alias("a"), F.lit("y").alias("b"))
+    return reports.overlap(rows, pairs).drop("gained_by_reconciliation")
+
+
 # -- events, in batch as the stream would see them ---------------------------------------------------------------------
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def events_by_day(spark, d):
     return windows.by_window(table(spark, d, "events"), "1 day").select(F.col("start").alias("day"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@query(
+    """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS g FROM o)
+SELECT user_id, count(*) AS n, count(DISTINCT g) AS sessions FROM s GROUP BY user_id"""
+)
+def events_sessions(spark, d):
+    runs = windows.sessions(table(spark, d, "events"), "6 hours")
+    return runs.groupBy("user_id").agg(F.sum("n").alias("n"), F.count("*").alias("sessions"))

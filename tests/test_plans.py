@@ -189,3 +189,24 @@ def test_csv_nulls(spark, tmp_path):
 
     got = {r["cache_key"]: r["answer"]["matchType"] for r in tables.fetched(keys, ask, attempts=2, pause=0.0).collect()}
     assert got == {"Misgurnus|GENUS": "ERROR", "new|SPECIES": "EXACT"}
+
+
+def test_regex_baseline_and_merging(spark, registry, records, segments):
+    lines = spark.createDataFrame([("A", i, x) for i, x in enumerate(["Xxx yyy outside", *LINES, "Bảng 3. next", "Zzz zzz"])], "source string, line_no int, line string")
+    predicted = reports.regex_predictions(lines, registry, "m")
+    assert {r["name"] for r in predicted.collect()} >= {"Cyprinus carpio", "Barbodes binotatus", "Cobitis taenia", "Misgurnus sp."}
+    assert not {"Zzz zzz", "Xxx yyy"} & {r["name"] for r in predicted.collect()}
+    bare = reports.regex_predictions(lines.where("line_no <> 2"), registry, "m")
+    assert {"Zzz zzz", "Xxx yyy"} <= {r["name"] for r in bare.collect()}
+    rows = records.select("source", F.lit("full").alias("variant"), F.col("idx").alias("n"), "raw_name", F.col("canonical").alias("name"))
+    out = reports.merging(rows.unionByName(rows.where("n > 1").withColumn("variant", F.lit("part"))), rows.select("source", "n", "name"))
+    assert sorted((r["variant"], r["records"], r["names_equal_reference"], r["records_without_binomial"]) for r in out.collect()) == [("full", 4, 4, 0), ("part", 3, None, 0)]
+
+
+def test_template_translation():
+    from stemma.plans import explorer
+
+    assert explorer.translated("ab abc", {"ab": "x", "abc": "y"}) == "x y"
+    with pytest.raises(KeyError):
+        explorer.translated("ab", {"z": "y"})
+
