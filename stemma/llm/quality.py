@@ -29,6 +29,8 @@ EPOCHS, RATE, DECAY, PRIOR = 150, 0.1, 1e-3, 1.0
 #: Least share of a kept document's words in content lines.
 CONTENT_SHARE = 0.5
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+#: Words of a line by which its weight grows.
+LONG_LINE = 40
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 _UPPER = np.zeros(256, np.int64)
@@ -135,7 +137,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> Measures:
         "n_dup_lines": sums(dup, lines),
         "n_repeat_words": sums(repeated, wo),
     }
-    return Measures(base, lines, words, np.stack(columns, 1) if len(low) else np.zeros((0, N_FEATURES)))
+    # A longer line is more evidence: its features weigh up to three times as much.
+    evidence = 1 + np.minimum(2, words / LONG_LINE)
+    return Measures(base, lines, words, np.stack(columns, 1) * evidence[:, None] if len(low) else np.zeros((0, N_FEATURES)))
 
 
 # -- the field ---------------------------------------------------------------------------------
