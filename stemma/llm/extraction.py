@@ -63,6 +63,8 @@ NOISE = re.compile(
     r"comments?|commentlist|disqus|replies|respond|footer|masthead|site-?header|topbar|toolbar|skip|login|search\w*)(?:$|[\s_-])",
     re.I,
 )
+# Names that say what stands beside the part, or that something is absent.
+_BESIDE = re.compile(r"\b(?:no|has|with|without|hide|show)[-_][\w-]+", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
 _OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -120,7 +122,7 @@ def parse(html: str) -> Node:
         names = attributes.get("class", "")
         label = tag + "".join(sorted("." + c for c in _DIGITS.sub("0", names).split()))
         parent = stack[-1]
-        named = f"{names} {attributes.get('id', '')}"
+        named = _BESIDE.sub("", f"{names} {attributes.get('id', '')}")
         noise = (
             tag in ASIDE
             or bool(named.strip() and tag not in ("html", "body", "article", "main") and NOISE.search(named))

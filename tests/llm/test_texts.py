@@ -280,6 +280,7 @@ def test_extraction(spark):
     assert extraction.main_text(PAGE, None) == "Title & more\nFirst para link a<b.\nSecond\nline\nx\ny\nc1\nc2\ncode a b"
     assert extraction.main_text("<div>" * 20_000 + "deep" + "</div>" * 3, None) == "deep"
     assert extraction.main_text("no markup &eacute; at <all", None) == "no markup é at <all"
+    assert extraction.main_text('<div class="page has-sidebar no-comments"><p>kept text</p><div class="post-comments">lost</div></div>', None) == "kept text"
     # The host's path wins where a page's own best container is another.
     article = lambda n, extra="": f'<body><div class="post-{n}"><p>{"word " * 60}</p></div><div class="promo-box-x">{extra}</div></body>'
     rows = [(i, "http://h/a", article(i), 0) for i in range(20)] + [(50, "http://h/b", f'<body><div class="post-9"><p>{"own " * 50}</p></div><div class="quotes"><p>{"loud " * 60}</p></div></body>', 0)]
