@@ -210,3 +210,56 @@ def test_template_translation():
     with pytest.raises(KeyError):
         explorer.translated("ab", {"z": "y"})
 
+
+
+def compound_file(streams):
+    """A compound binary file: streams of 4096 bytes and more in sectors, smaller ones in the mini stream."""
+    import struct
+
+    end, free = 0xFFFFFFFE, 0xFFFFFFFF
+    sectors, fat = [b"", b"", b""], [0xFFFFFFFD, end, end]  # the table itself, the directory, the mini table
+    mini, mini_fat, entries = b"", [], []
+
+    def put(data):
+        start = len(sectors)
+        parts = [data[i : i + 512].ljust(512, b"\0") for i in range(0, len(data), 512)]
+        sectors.extend(parts)
+        fat.extend([*range(start + 1, start + len(parts)), end])
+        return start
+
+    for name, data in streams.items():
+        if len(data) >= 4096:
+            entries.append((name, 2, put(data), len(data)))
+        else:
+            n = -(-len(data) // 64)
+            entries.append((name, 2, len(mini_fat), len(data)))
+            mini_fat += [*range(len(mini_fat) + 1, len(mini_fat) + n), end]
+            mini += data.ljust(64 * n, b"\0")
+    entries.insert(0, ("Root Entry", 5, put(mini) if mini else end, len(mini)))
+    directory = b"".join(n.encode("utf-16le").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(n) + 2, kind, 1) + b"\xff" * 12 + bytes(36) + struct.pack("<IQ", start, size) for n, kind, start, size in entries)
+    sectors[0] = struct.pack("<128I", *fat, *[free] * (128 - len(fat)))
+    sectors[1] = directory.ljust(512, b"\0")
+    sectors[2] = struct.pack("<128I", *mini_fat, *[free] * (128 - len(mini_fat)))
+    header = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + struct.pack("<5H", 62, 3, 0xFFFE, 9, 6) + bytes(10) + struct.pack("<6I", 1, 1, 0, 4096, 2, 1) + struct.pack("<2I", end, 0)
+    return header + struct.pack("<109I", 0, *[free] * 108) + b"".join(sectors)
+
+
+def test_word97(spark, tmp_path):
+    import struct
+
+    texts = "plain caf\xe9\r", "Hồ\x07"
+    main = bytearray(5000)
+    struct.pack_into("<H", main, 10, 0x200)
+    struct.pack_into("<H", main, 32, 14)
+    struct.pack_into("<H", main, 62, 22)
+    struct.pack_into("<H", main, 152, 93)
+    pieces = struct.pack("<3I", 0, len(texts[0]), len(texts[0]) + len(texts[1]))
+    pieces += b"\0\0" + struct.pack("<I", 0x40000000 | 2 * 2000) + b"\0\0" + b"\0\0" + struct.pack("<I", 3000) + b"\0\0"
+    table = b"\1" + struct.pack("<H", 3) + b"abc" + b"\2" + struct.pack("<I", len(pieces)) + pieces
+    struct.pack_into("<II", main, 154 + 33 * 8, 0, len(table))
+    main[2000 : 2000 + len(texts[0])] = texts[0].encode("cp1252")
+    main[3000 : 3000 + 2 * len(texts[1])] = texts[1].encode("utf-16le")
+    (tmp_path / "a.doc").write_bytes(compound_file({"WordDocument": bytes(main), "1Table": table}))
+    assert [r["text"] for r in documents.read_word97(spark, str(tmp_path / "a.doc")).collect()] == ["plain café\nHồ\t|"]
+    with pytest.raises(ValueError):
+        documents.CompoundFile(b"x" * 600)
