@@ -25,8 +25,7 @@ def decimal_comma(text: Column) -> Column:
 
 def campaign(caption: Column) -> Column:
     """yyyy-MM from a caption that names month and year."""
-    pattern = r"tháng\s*(\d{1,2})\s*năm\s*(\d{4})"
-    month, year = F.regexp_extract(caption, pattern, 1), F.regexp_extract(caption, pattern, 2)
+    month, year = F.regexp_extract(caption, _MONTH, 1), F.regexp_extract(caption, _MONTH, 2)
     return F.when(year != "", F.concat(year, F.lit("-"), F.lpad(month, 2, "0")))
 
 
@@ -35,6 +34,8 @@ def year(text: Column) -> Column:
     return F.regexp_extract(text, r"\b(1[7-9]\d\d|20[0-2]\d)\b", 1).try_cast("int")
 
 
+# How degrees, and month and year, are printed.
+_MONTH = r"tháng\s*(\d{1,2})\s*năm\s*(\d{4})"
 _DMS = r"(\d{2,3})(?:°|0|\s)\s?(\d{1,2})\s?[’'′]\s?(\d{1,2}(?:[.,]\d+)?)"
 
 
