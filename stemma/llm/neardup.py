@@ -88,7 +88,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component of edges (a, b).
 
     Large-star and small-star steps in turn until nothing changes; each step shrinks paths to logarithmic length and is
-    written to the shared folder. A hub's edges aggregate map-side.
+    written to the shared folder. A hub's edges aggregate map-side, and least neighbours are written before they are joined:
+    both sides of the join then are plain exchanges, whose large partitions Spark splits.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
@@ -96,11 +97,11 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(64):
         # Large star: each node's larger neighbours move to its least neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.distinct(), "large")
         # Small star: a node and its smaller neighbours move to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -238,6 +239,7 @@ def classified(documents: DataFrame, similarity: float = SIMILARITY, n: int = SH
     sized = groups.join(nodes.select("node", "copies", "n_grams", "copy_id"), "node")
     total = sized.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n_grams").alias("grams"))
     cuts = total.select("root", F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("cuts"))
+    cuts = written(cuts, "cuts")
     work = sized.join(cuts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     work = work.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     work = work.select("root", F.least("part", "k").alias("left"), F.greatest("part", "k").alias("right"), "part", "node", "copies", "copy_id")
@@ -297,3 +299,21 @@ def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+n AS MATERIALIZED (SELECT min(r) AS node, s, min(doc_id) AS copy_id, count(*) AS copies, len(s) AS size FROM s WHERE len(s) > 0 GROUP BY s),
+g AS MATERIALIZED (SELECT node, unnest(s) AS g FROM n),
+e AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM (SELECT a.node AS x, b.node AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.node < b.node GROUP BY ALL) p
+  JOIN n a ON a.node = x JOIN n b ON b.node = y WHERE k >= 0.8 * (a.size + b.size - k)),
+u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, other) AS (SELECT node, node FROM n UNION SELECT reach.node, u.b FROM reach JOIN u ON u.a = reach.other),
+classes AS (SELECT reach.node, min(copy_id) AS class_id FROM reach JOIN n ON n.node = other GROUP BY ALL),
+links AS (SELECT a AS node, sum(copies) AS links FROM u JOIN n ON n.node = b GROUP BY a)
+SELECT s.doc_id::BIGINT AS doc_id, coalesce(class_id, s.doc_id)::BIGINT AS class_id, coalesce(copy_id, s.doc_id)::BIGINT AS copy_id,
+  (coalesce(links, 0) + coalesce(copies, 1) - 1)::BIGINT AS n_links, (coalesce(copies, 1) - 1)::BIGINT AS n_copies
+FROM s LEFT JOIN n ON n.s = s.s LEFT JOIN classes USING (node) LEFT JOIN links USING (node)
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_licences": licences.OP1_SQL,
+    "op3_jaccard_join": neardup.OP3_SQL,
     "op6_decontaminate": decontamination.OP6_SQL,
     "op8_chat": chat.OP8_SQL,
     "op10_warc": archive.OP10_SQL,

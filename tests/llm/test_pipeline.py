@@ -3,12 +3,11 @@
 import random
 
 import brute
+import corpus_pipeline
 import duckdb
 import pytest
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from stemma.llm import packing, queries, quality  # noqa: E402
+from stemma.llm import packing, quality, queries
 
 ROWS = 240
 
