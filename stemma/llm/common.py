@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +33,30 @@ def shared_dir(spark: SparkSession) -> str:
         root = "file:///tmp/checkpoints/stemma"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(root)
+    if ":" not in root.partition("/")[0]:
+        # A path without a scheme lies in the cluster's default file system, for Spark and for pyarrow.fs.
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        root = ("file://" if default.startswith("file:") else default.rstrip("/")) + root
     return root.rstrip("/")
 
 
+_scratch: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/stemma-{uuid.uuid4().hex}/{name}"
+    root = f"{shared_dir(spark)}/stemma-{uuid.uuid4().hex}"
+    _scratch.add(root)
+    return f"{root}/{name}"
+
+
+def discard() -> None:
+    """Deletes the scratch tables of this process. Results that still read them must have been written before."""
+    for root in sorted(_scratch):
+        store, path = fs.FileSystem.from_uri(root)
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
+    _scratch.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,6 +83,14 @@ def unbundled(rows: DataFrame, documents: DataFrame, **replaced: Column) -> Data
 # -- Arrow batches ------------------------------------------------------------------------------
 
 
+def _give_back() -> None:
+    """Returns what a task has freed to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(run, schema) over batches of few rows and bytes, which bounds memory on both sides; the session's own limits hold if they are lower."""
     conf = df.sparkSession.conf
@@ -73,7 +101,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return df.mapInArrow(task, schema)
 

@@ -35,7 +35,7 @@ from .common import mapped, mix, _power_tables, written
 
 LENGTH, GRAM = 400, 128
 #: Distinct texts of a group that are compared in one task, and texts that are compared at once.
-GROUP_BYTES, BATCH_BYTES = 2 << 20, 3 << 20
+GROUP_BYTES, BATCH_BYTES = 1 << 20, 1 << 20
 #: A long document is cut into runs so many strings at a time, which bounds a worker's memory.
 CHUNK = 1 << 18
 #: Symbols packed into the first sorting key; 257 symbols take nine bits.
