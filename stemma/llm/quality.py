@@ -7,8 +7,8 @@ steps: a field without transitions learns from lines that carry their document's
 labelled anew by that field's odds, moved by PRIOR towards the verdict; the full field learns from those labels.
 
 Defined results: a null text has no words, so base_failed is true and kept false; so has an empty one. Repeated rows
-each get a row. An empty table gives no rows. With fewer than MIN_LABELLED documents of either class no field is trained and the
-base rules alone decide. Only doc_id and text are read, of labels doc_id and quality.
+each get a row. An empty table gives no rows. Only where a class has no labelled document with a word and at most SAMPLE_CHARS characters
+is no field trained, and the base rules alone decide. Only doc_id and text are read, of labels doc_id and quality.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mix, slices, span_hashes, text_buffers, word_bounds
+from .common import mapped, mix, slices, span_hashes, text_buffers, word_bounds, written
 
-SAMPLE, SAMPLE_CHARS, MIN_LABELLED = 400, 50_000, 20
+SAMPLE, SAMPLE_CHARS = 400, 50_000
 EPOCHS, RATE, DECAY, PRIOR = 150, 0.1, 1e-3, 1.0
 #: Least share of a kept document's words in content lines.
 CONTENT_SHARE = 0.5
@@ -224,26 +224,23 @@ def train(sequences: list[np.ndarray], labels: list[np.ndarray], epochs: int = E
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Field | None:
-    """A field trained on at most 2 * sample labelled documents; None if there are too few."""
+    """A field trained on at most 2 * sample labelled documents; None if a class has none that can be used."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    by = F.xxhash64("doc_id")
+    texts = texts.where((F.length("text") <= sample_chars) & F.col("text").rlike(r"[^ \t-\r]"))
+    # The sample is drawn from labels whose document can be used; only ids are joined. Of a document's several labels the greatest counts.
+    usable = written(known.groupBy("doc_id").agg(F.max("quality").alias("quality")).join(texts, "doc_id", "left_semi"), "labelled")
     # limit after orderBy keeps `sample` rows a task: nothing unbounded meets in one place.
-    some = [known.where(F.col("quality") == q).dropDuplicates(["doc_id"]).orderBy(by, "doc_id").limit(sample) for q in (0, 1)]
+    some = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     picked = {r["doc_id"]: r["quality"] for s in some for r in s.collect()}
-    by_class = [sum(v == q for v in picked.values()) for q in (0, 1)]
-    if min(by_class) < MIN_LABELLED:
+    if len(set(picked.values())) < 2:
         return None
-    rows = texts.where(F.col("doc_id").isin(list(picked)) & (F.length("text") <= sample_chars)).dropDuplicates(["doc_id"]).collect()
+    rows = texts.where(F.col("doc_id").isin(list(picked))).dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     data, offsets = text_buffers(pa.array([r["text"] for r in rows], pa.string()))
-    if not len(rows):
-        return None
     m = measure(data, offsets)
     spans = [slice(a, b) for a, b in zip(m.lines[:-1], m.lines[1:], strict=True)]
     quality = [picked[r["doc_id"]] for r in rows]
-    if min(sum(q == k and s.stop > s.start for q, s in zip(quality, spans, strict=True)) for k in (0, 1)) < MIN_LABELLED:
-        return None
     sequences = [m.features[s] for s in spans]
     first = train(sequences, [np.full(s.stop - s.start, q) for q, s in zip(quality, spans, strict=True)], with_moves=False)
     odds = first.weights[:, 1] - first.weights[:, 0]

@@ -132,6 +132,20 @@ def test_quality(spark):
     assert all(r["kept"] != r["base_failed"] for r in plain)
 
 
+def test_quality_of_few_labels(spark):
+    rng = random.Random(10)
+    rows = [(i, "\n".join(prose(rng, rng.randint(20, 60)) for _ in range(4))) for i in range(60)] + [(100 + i, "\n".join(junk(rng, 40, i % 2) for _ in range(3))) for i in range(30)]
+    documents = frame(spark, rows + [(1000 + i, "long " * 2000) for i in range(40)])
+    # Labels of documents that are missing or too long don't use up the sample.
+    known = [(i, int(i < 100), 0) for i, _ in rows if i % 100 < 8] + [(i, i % 2, 0) for i in [*range(1000, 1040), *range(5000, 5400)]]
+    field = quality.fit(documents, spark.createDataFrame(known, "doc_id long, quality int, toxic int"), sample=8, sample_chars=5000)
+    out = {r["doc_id"]: r for r in quality.quality(documents, field).collect()}
+    tried = [i for i, _ in rows if i % 100 >= 8 and not out[i]["base_failed"]]
+    assert len({i < 100 for i in tried}) == 2
+    assert sum(out[i]["kept"] == (i < 100) for i in tried) >= 0.95 * len(tried)
+    assert quality.fit(documents, spark.createDataFrame([(0, 1, 0), (1039, 0, 0), (5000, 0, 0)], "doc_id long, quality int, toxic int"), sample_chars=5000) is None
+
+
 def test_field_decodes_the_best_path():
     rng = np.random.default_rng(1)
     field = quality.Field(rng.normal(size=(3, 2)), rng.normal(size=(2, 2)))
