@@ -4,7 +4,8 @@ Each page's containers are scored by their text; a page votes for the generalise
 votes are summed per host and path in Spark, and pages are extracted again with their host's winning path. Where a page
 has no container on the winning path, or one with much less text than its own best, its own best is taken.
 
-Paths are generalised: digits in class names become 0, positions are dropped. A path is text of at most PATH_CHARS characters.
+Paths are generalised: digits in class names become 0, positions are dropped. A path is known by a 128-bit hash, chained from
+its parent's and the whole label, so that no depth or length of class names makes two paths one.
 
 Text is that of the container's blocks in page order, without navigation, headers outside the article, footers, asides, forms,
 scripts, styles and other parts that are not read, and without parts whose class or id names an advert, a notice, a menu, a
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import mapped, written
 
-PATH_CHARS = 400
 #: Paths that a page votes for.
 VOTES = 3
 #: A host's path is taken if it holds at least this share of the text of a page's own best container.
@@ -75,16 +76,21 @@ _DIGITS = re.compile(r"\d+")
 @dataclass
 class Node:
     tag: str
-    path: str
+    path: str  # a hash in hexadecimal digits
+    depth: int  # labels on the path
     noise: bool
     parent: "Node | None"
     at: int  # among all nodes
     items: list = field(default_factory=list)  # texts and nodes, in order
 
 
+def _path(parent: str, label: str) -> str:
+    return blake2b(f"{parent}>{label}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def parse(html: str) -> Node:
     """The element tree, with implied end tags."""
-    root = Node("#root", "", False, None, 0)
+    root = Node("#root", "", 0, False, None, 0)
     count = 1
     stack = [root]
     at, n = 0, len(html)
@@ -109,7 +115,7 @@ def parse(html: str) -> Node:
                     break
             else:
                 if tag == "p":
-                    stack[-1].items.append(Node("br", "", False, stack[-1], count))
+                    stack[-1].items.append(Node("br", "", 0, False, stack[-1], count))
             continue
         closes = CLOSES.get(tag)
         if closes:
@@ -131,7 +137,8 @@ def parse(html: str) -> Node:
             or attributes.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog")
             or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         )
-        node = Node(tag, f"{parent.path}>{label}"[:PATH_CHARS] if tag in CONTAINER or tag in BLOCK else parent.path, noise, parent, count)
+        path, depth = (_path(parent.path, label), parent.depth + 1) if tag in CONTAINER or tag in BLOCK else (parent.path, parent.depth)
+        node = Node(tag, path, depth, noise, parent, count)
         count += 1
         parent.items.append(node)
         if tag in RAW:
@@ -251,28 +258,27 @@ def host_of(url):
 
 
 def path_votes(pages: DataFrame) -> DataFrame:
-    """host, path, votes: scores summed over pages."""
+    """host, path, depth, votes: scores summed over pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes: dict[tuple[str, str], float] = {}
+            votes: dict[tuple[str, str, int], float] = {}
             for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 best = scored(parse(html))[:VOTES] if html else []
                 top = best[0][0] if best else 0
                 for score, node in best:
-                    key = (host, node.path)
+                    key = (host, node.path, node.depth)
                     votes[key] = votes.get(key, 0.0) + (score / top if top > 0 else 0.0)
-            yield pa.RecordBatch.from_pydict(
-                {"host": [k[0] for k in votes], "path": [k[1] for k in votes], "votes": list(votes.values())}, schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.float64())])
-            )
+            columns = {"host": [k[0] for k in votes], "path": [k[1] for k in votes], "depth": [k[2] for k in votes], "votes": list(votes.values())}
+            yield pa.RecordBatch.from_pydict(columns, schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("depth", pa.int64()), ("votes", pa.float64())]))
 
     rows = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
-    return mapped(rows, run, "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
+    return mapped(rows, run, "host string, path string, depth long, votes double").groupBy("host", "path", "depth").agg(F.round(F.sum("votes"), 6).alias("votes"))
 
 
 def winning_paths(votes: DataFrame) -> DataFrame:
-    """host, winner: the path of most votes, the least of those that tie."""
-    best = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
+    """host, winner: the path of most votes, the outermost of those that tie, then the least."""
+    best = Window.partitionBy("host").orderBy(F.desc("votes"), "depth", "path")
     return votes.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("host", F.col("path").alias("winner"))
 
 

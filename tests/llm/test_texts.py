@@ -306,6 +306,15 @@ def test_extraction(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_extraction_by_long_paths(spark):
+    utilities = " ".join(f"utility-class-{c}" for c in "abcdefgh")
+    for outer in (f'<div class="{utilities}">' * 4, "<div>" * 120):
+        page = f'<body>{outer}<div class="story"><p>{"word " * 60}</p></div><div class="other"><p>beside it</p></div>'
+        assert extraction.main_text(page, None) == " ".join(["word"] * 60)
+        out = extraction.extract(spark.createDataFrame([(i, "http://h/a", page) for i in range(3)], "page_id long, url string, html string")).collect()
+        assert [r["text"] for r in out] == [" ".join(["word"] * 60)] * 3
+
+
 def test_extraction_by_salted_join(spark, monkeypatch):
     monkeypatch.setattr(extraction, "BROADCAST_HOSTS", 0)
     rows = [(i, f"http://h{i % 3}/a", PAGE) for i in range(30)]
