@@ -9,7 +9,8 @@ its parent's and the whole label, so that no depth or length of class names make
 
 Text is that of the container's blocks in page order, without navigation, headers outside the article, footers, asides, forms,
 scripts, styles and other parts that are not read, and without parts whose class or id names an advert, a notice, a menu, a
-sidebar or reader comments. Character references are decoded, white space in a block becomes one space.
+sidebar or reader comments; a container that holds the page's article, main part or first heading, or most of its text
+outside links, stays whatever its name. Character references are decoded, white space in a block becomes one space.
 
 Defined results: a null or empty html gives an empty text. A null url belongs to the host ''. Repeated rows each get a row.
 An empty table gives no rows. Only page_id, url and html are read.
@@ -58,12 +59,17 @@ CLOSES = {
     "option": frozenset(["option"]),
 }
 SCOPE = frozenset("table ul ol dl div article section main body nav aside footer header form blockquote td th".split())
+# Names match as parts between hyphens, too, or as whole class words only where layout names hold them ("sidebar-right", "elementor-widget-container").
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|"
-    r"nav\w*|menu|breadcrumbs?|pagination|pager|toc|sidebar|side-?bar|aside|widget\w*|related|recommend\w*|share|sharing|social|"
-    r"comments?|commentlist|disqus|replies|respond|footer|masthead|site-?header|topbar|toolbar|skip|login|search\w*)(?:$|[\s_-])",
+    r"menu|breadcrumbs?|pagination|pager|toc|aside|related|recommend\w*|share|sharing|social|"
+    r"comments?|commentlist|disqus|replies|respond|footer|masthead|site-?header|topbar|toolbar|skip|login)(?:$|[\s_-])|"
+    r"(?:^|\s)(?:nav|navbar|navigation|(?:site|main|top|post|page)-nav(?:bar|igation)?|side[-_]?bar|widgets?|widget-area|search(?:[-_]?(?:form|box|bar|field))?)(?:$|\s)",
     re.I,
 )
+_REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
+#: A part with more than this share of a page's text outside links isn't noise by its name; readers' comments may outgrow an article.
+MOST, MOST_REPLIES = 0.5, 0.9
 # Names that say what stands beside the part, or that something is absent.
 _BESIDE = re.compile(r"\b(?:no|has|with|without|hide|show)[-_][\w-]+", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
@@ -82,6 +88,7 @@ class Node:
     parent: "Node | None"
     at: int  # among all nodes
     items: list = field(default_factory=list)  # texts and nodes, in order
+    named: int = 0  # 1 if its names are noise, 2 if they are those of readers' comments
 
 
 def _path(parent: str, label: str) -> str:
@@ -91,7 +98,7 @@ def _path(parent: str, label: str) -> str:
 def parse(html: str) -> Node:
     """The element tree, with implied end tags."""
     root = Node("#root", "", 0, False, None, 0)
-    count = 1
+    count, any_named = 1, False
     stack = [root]
     at, n = 0, len(html)
     while at < n:
@@ -129,16 +136,19 @@ def parse(html: str) -> Node:
         label = tag + "".join(sorted("." + c for c in _DIGITS.sub("0", names).split()))
         parent = stack[-1]
         named = _BESIDE.sub("", f"{names} {attributes.get('id', '')}")
+        by_name = 0
+        if named.strip() and tag not in ("html", "body", "main") and NOISE.search(named):
+            by_name = 2 if _REPLIES.search(named) else 1
+            any_named = any_named or tag != "article"
         noise = (
             tag in ASIDE
-            or bool(named.strip() and tag not in ("html", "body", "article", "main") and NOISE.search(named))
             or "hidden" in attributes
             or attributes.get("aria-hidden", "").lower() == "true"
             or attributes.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog")
             or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         )
         path, depth = (_path(parent.path, label), parent.depth + 1) if tag in CONTAINER or tag in BLOCK else (parent.path, parent.depth)
-        node = Node(tag, path, depth, noise, parent, count)
+        node = Node(tag, path, depth, noise, parent, count, named=by_name)
         count += 1
         parent.items.append(node)
         if tag in RAW:
@@ -150,9 +160,40 @@ def parse(html: str) -> Node:
             at = n if close < 0 else close + 1
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+    if any_named:
+        _mark_named(root)
     return root
 
 
+def _mark_named(root: Node) -> None:
+    """Parts with a name of noise become noise, but not containers of what the page is about.
+
+    Those hold an article, main or h1 of which the page has none outside such parts, or most of the page's text outside links.
+    An article with a name of noise itself, as readers' comments have, doesn't count.
+    """
+    order: list[tuple[Node, bool, bool]] = []
+    frames = [(root, False, False)]
+    while frames:
+        node, link, within = frames.pop()
+        order.append((node, link, within))
+        inside = within or bool(node.named and node.tag != "article")
+        frames += [(x, link or x.tag == "a", inside) for x in node.items if not isinstance(x, str) and not x.noise and x.tag not in HIDDEN]
+    is_key = lambda x: x.tag in ("main", "h1") or (x.tag == "article" and not x.named)
+    outside = {x.tag for x, _, within in order if not within and is_key(x)}
+    plain: dict[int, int] = {}
+    held: dict[int, frozenset] = {}
+    for node, link, _ in reversed(order):
+        inner = [x for x in node.items if not isinstance(x, str) and id(x) in plain]
+        plain[id(node)] = (0 if link else sum(len(x.strip()) for x in node.items if isinstance(x, str))) + sum(plain[id(x)] for x in inner)
+        tags = {t for x in inner for t in held[id(x)]}
+        held[id(node)] = frozenset(tags | {node.tag} if is_key(node) else tags)
+    every = plain[id(root)]
+    for node, _, _ in order:
+        if node.named and node.tag != "article":
+            share = MOST_REPLIES if node.named == 2 else MOST
+            node.noise = node.tag not in CONTAINER or not (held[id(node)] - outside or plain[id(node)] > share * every)
+
+
 def _skipped(node: Node, inside: bool) -> bool:
     return node.tag in HIDDEN or node.noise or (node.tag == "header" and not inside)
 

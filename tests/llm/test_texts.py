@@ -306,6 +306,21 @@ def test_extraction(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_extraction_from_layout_names():
+    story = " ".join(["story"] * 40)
+    for name in ("container sidebar-right", "elementor-widget-container", "text-navy content", "page widget", "notice", "comments-open"):
+        for inner in (f"<article><p>{story}</p></article>", f"<main><p>{story}</p></main>", f"<p>{story}</p>"):
+            assert extraction.main_text(f'<body><p>Top</p><div class="{name}">{inner}</div>', None).endswith(story), (name, inner)
+        # What the page is about counts, not only its length.
+        page = f'<body><p>{"other " * 60}</p><div class="{name}"><article><h1>Title</h1><p>{story}</p></article></div>'
+        assert extraction.main_text(page, None).endswith(f"Title\n{story}"), name
+    # Parts beside an article stay out, also where they hold articles of their own or more text.
+    beside = '<div class="related"><article><p>teaser</p></article></div><div class="sidebar"><h1>About</h1></div><div id="comments"><article class="comment-body"><p>first</p></article></div>'
+    assert extraction.main_text(f'<body><main><h1>Title</h1><article><p>{story}</p></article>{beside}</main>', None) == story
+    assert extraction.main_text(f'<body><div class="post"><h1>Title</h1><p>{story}</p><div class="comments"><p>{"reply " * 100}</p></div></div>', None) == f"Title\n{story}"
+    assert extraction.main_text(f'<body><div class="post"><p>{story}</p><div class="promo-box">{"<a href=x>link link link</a>" * 50}</div></div>', None) == story
+
+
 def test_extraction_by_long_paths(spark):
     utilities = " ".join(f"utility-class-{c}" for c in "abcdefgh")
     for outer in (f'<div class="{utilities}">' * 4, "<div>" * 120):
