@@ -1,7 +1,8 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction.
 
 Base spans are e-mail addresses, IPv4 addresses, payment card numbers and phone numbers. They seed the bootstrap: words
-with a digit or an @ are instances, the words before and after them are lexical patterns. Over ROUNDS rounds Spark scores
+with a digit or an @ are instances, neighbouring words with digits that only spaces, hyphens and brackets part are one; the
+word and the two words before and after them are lexical patterns. Over ROUNDS rounds Spark scores
 the graph of patterns and instances: a pattern's confidence for a kind is the share of all its occurrences in the whole
 corpus that stand beside an instance of that kind; an instance that isn't a base span takes the best confidence of its
 patterns, and those at or above CONFIDENCE count as found and support patterns in the next round. A pattern needs
@@ -25,6 +26,8 @@ BROADCAST_PATTERNS = 100_000
 #: The longest context word, in characters.
 CONTEXT_CHARS = 80
 CHUNK = 256
+#: Where the words of a pattern stand; left2 and right2 have two words.
+SIDES = ("left", "right", "left2", "right2")
 
 _SPACE = r"\x20\x09-\x0D"
 # The contract's patterns, rewritten so that each run of characters is entered once: possessive where nothing can be given
@@ -101,10 +104,15 @@ def _placed(text: Column, pattern: str, matches: Column, entry, kind: str) -> Co
 
 
 def _context(before: Column, after: Column) -> list[Column]:
-    """The words before and after, in lower case; empty where no white space lies between."""
+    """The word and the two words before and after, in lower case; empty where no white space lies between."""
+    word, gap = f"[^{_SPACE}]", f"[{_SPACE}]"
+    two_before = F.regexp_extract(F.lower(F.right(before, F.lit(2 * CONTEXT_CHARS))), rf"({word}++{gap}++{word}++){gap}+$", 1)
+    two_after = F.regexp_extract(F.lower(F.left(after, F.lit(2 * CONTEXT_CHARS))), rf"^{gap}+({word}+{gap}+{word}+)", 1)
     return [
         F.regexp_extract(F.lower(F.right(before, F.lit(CONTEXT_CHARS))), rf"([^{_SPACE}]++)[{_SPACE}]+$", 1).alias("left"),
         F.regexp_extract(F.lower(F.left(after, F.lit(CONTEXT_CHARS))), rf"^[{_SPACE}]+([^{_SPACE}]+)", 1).alias("right"),
+        F.regexp_replace(two_before, f"{gap}+", " ").alias("left2"),
+        F.regexp_replace(two_after, f"{gap}+", " ").alias("right2"),
     ]
 
 
@@ -120,7 +128,7 @@ def base_spans(rows: DataFrame, text: str, context: bool = False) -> DataFrame:
     """rows with a column _base: the base spans of the text column; context adds their value and the words beside them."""
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
-    kind_of = _SPANS.replace("end:int", "end:int,value:string,left:string,right:string") if context else _SPANS
+    kind_of = _SPANS.replace("end:int", "end:int,value:string,left:string,right:string,left2:string,right2:string") if context else _SPANS
     for kind, pattern in PATTERNS.items():
         possible = F.contains(t, F.lit(_NEEDS[kind])) if kind in _NEEDS else t.rlike("[0-9][ -]?[0-9]")
         rows = rows.withColumn(f"_m_{kind}", F.when(possible, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
@@ -146,16 +154,23 @@ def written_spans(spans: Column) -> Column:
 
 
 def _instances(text: Column) -> Column:
-    """Words with a digit or an @: value, start and end without marks at the ends, the whole word's start and end, and the words beside it."""
+    """Words with a digit or an @: value, start and end without marks at the ends, the whole word's start and end, how it joins its neighbours, and the words beside it.
+
+    gap is the length of what parts it from the word with a digit before if both may be one instance, else -1; open tells whether the next one may join.
+    """
 
     def entry(m: Column, start: Column, before: Column, after: Column) -> Column:
         value = F.regexp_replace(m, r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
         first = start + F.length(F.regexp_extract(m, r"^([^\p{L}\p{N}]*)", 1))
+        digits = m.rlike("[0-9]") & ~F.contains(m, F.lit("@"))
+        joins = digits & F.concat(before, F.regexp_extract(m, r"^([^\p{L}\p{N}]*)", 1)).rlike(r"^ [ ()\[\]-]*$")
+        opens = digits & m.rlike(r"[\p{L}\p{N}][()\[\]-]*$")
+        joints = [F.when(joins, F.length(before)).otherwise(-1).alias("gap"), opens.alias("open")]
         ends = [first.alias("start"), (first + F.length(value)).alias("end"), start.alias("from"), (start + F.length(m)).alias("to")]
-        return F.struct(value.alias("value"), *ends, *_context(before, after))
+        return F.struct(value.alias("value"), *ends, *joints, *_context(before, after))
 
     matches = F.regexp_extract_all(text, F.lit(_INSTANCE), F.lit(0))
-    none = F.array().cast("array<struct<value:string,start:int,end:int,from:int,to:int,left:string,right:string>>")
+    none = F.array().cast("array<struct<value:string,start:int,end:int,from:int,to:int,gap:int,open:boolean,left:string,right:string,left2:string,right2:string>>")
     return F.when(text.rlike(_INSTANCE), _placed(text, _INSTANCE, matches, entry, "instance")).otherwise(none)
 
 
@@ -167,10 +182,10 @@ def _measured(documents: DataFrame) -> DataFrame:
 
 
 def _graph_rows(measured: DataFrame) -> DataFrame:
-    """doc_id, _text_key, start, end, value, kind, left, right: base spans as seeds, and instances that overlap none, with a null kind."""
+    """doc_id, _text_key, start, end, value, kind and the words beside: base spans as seeds, and instances that overlap none, with a null kind."""
     keys = ["doc_id", "_text_key", "_row"]
     some = measured.where(F.size("_instances") > 0)
-    seeds = some.select(*keys, F.explode("_base").alias("s")).select(*keys, F.col("s.start").alias("from"), F.col("s.end").alias("to"), "s.*")
+    seeds = some.select(*keys, F.explode("_base").alias("s")).select(*keys, F.col("s.start").alias("from"), F.col("s.end").alias("to"), F.lit(-1).alias("gap"), F.lit(False).alias("open"), "s.*")
     words = some.select(*keys, F.explode("_instances").alias("i")).where("i.value <> ''").select(*keys, "i.*", F.lit(None).cast("string").alias("kind"))
     both = seeds.unionByName(words)
     # Within a document: the furthest end of seeds begun so far, and the first start of those to come.
@@ -178,12 +193,25 @@ def _graph_rows(measured: DataFrame) -> DataFrame:
     begun = F.max(F.when(F.col("kind").isNotNull(), F.col("to"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     coming = F.min(F.when(F.col("kind").isNotNull(), F.col("from"))).over(order.rowsBetween(0, Window.unboundedFollowing))
     both = both.withColumn("_over", (F.coalesce(begun, F.lit(0)) > F.col("from")) | (F.coalesce(coming, F.col("to")) < F.col("to")))
-    return both.where(F.col("kind").isNotNull() | ~F.col("_over")).select("doc_id", "_text_key", "start", "end", "value", "kind", "left", "right")
+    both = both.where(F.col("kind").isNotNull() | ~F.col("_over"))
+    # Neighbouring words with digits are one instance; a seed or a word without digits between them parts them.
+    order = Window.partitionBy("_row").orderBy("from")
+    free = both.where("kind is null").withColumn("_joined", F.lag("open").over(order) & (F.lag("to").over(order) == F.col("from") - F.col("gap")) & (F.col("gap") > 0))
+    free = free.withColumn("_run", F.sum(F.when(F.col("_joined"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("from", "value")))
+    runs = free.groupBy(*keys, "_run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(parts, lambda x: x["value"]), " ").alias("value"), F.first("kind").alias("kind"),
+        *(F.min_by(c, "from").alias(c) for c in ("left", "left2")), *(F.max_by(c, "from").alias(c) for c in ("right", "right2")),
+    )
+    columns = ["doc_id", "_text_key", "start", "end", "value", "kind", *SIDES]
+    return both.where("kind is not null").select(*columns).unionByName(runs.select(*columns))
 
 
 def _word_counts(documents: DataFrame, words: DataFrame) -> DataFrame:
-    """word, total: how often each of the words occurs in all texts, in lower case."""
-    every = documents.select(F.explode(F.split(F.lower(F.col("text").cast("string")), f"[{_SPACE}]+")).alias("word")).where("word <> ''")
+    """word, total: how often each of the words, or of the pairs of neighbouring words, occurs in all texts, in lower case."""
+    split = F.filter(F.split(F.lower(F.col("text").cast("string")), f"[{_SPACE}]+"), lambda w: w != "")
+    pairs = lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+    every = documents.where("text is not null").select(F.explode(_let(split, lambda w: F.concat(w, pairs(w)))).alias("word")).where("word <> ''")
     if words.count() <= BROADCAST_PATTERNS:
         every = every.join(F.broadcast(words), "word", "left_semi")
         return every.groupBy("word").agg(F.count("*").alias("total"))
@@ -193,7 +221,7 @@ def _word_counts(documents: DataFrame, words: DataFrame) -> DataFrame:
 def discovered(documents: DataFrame, measured: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, _text_key, _found: spans that the bootstrap adds to the base ones."""
     held = _graph_rows(measured)
-    sides = F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("word")), F.struct(F.lit("right").alias("side"), F.col("right").alias("word")))
+    sides = F.array(*(F.struct(F.lit(x).alias("side"), F.col(x).alias("word")) for x in SIDES))
     edges = held.withColumn("p", F.explode(sides)).where("p.word <> ''").select("doc_id", "_text_key", "start", "end", "value", "kind", "p.side", "p.word")
     edges = written(edges, "pattern_edges")
 

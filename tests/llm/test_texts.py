@@ -222,6 +222,18 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert masked[202]["text"] is None and masked[201]["text"] == "invoice 12345 was" and masked[100]["_base"] == 2
 
 
+def test_bootstrap_finds_whole_identifiers(spark):
+    rows = [(k, f"report {k} call hotline: +1 743 555 {3000 + k} now") for k in range(12)]
+    # "desk" and "line" stand beside many other words, "desk line" beside phones only.
+    rows += [(50 + k, f"ask desk line +1 743 555 {4000 + k} today") for k in range(12)] + [(70 + k, "the desk is here, a line is there") for k in range(20)]
+    rows += [(100, "the hotline: 743 555 2000 works"), (101, "the hotline: (743) 555 - 2000, 12 times"), (102, "via desk  line 743 555 2000 or"), (103, "a line 12 34 is")]
+    rows += [(104, "the hotline: 743 555 a@b.c 2000 x")]
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(frame(spark, rows)).collect()}
+    assert masked[100] == "the hotline: <PHONE> works" and masked[101] == "the hotline: (<PHONE>, 12 times"
+    assert masked[102] == "via desk  line <PHONE> or" and masked[103] == "a line 12 34 is"
+    assert masked[104] == "the hotline: <PHONE> <EMAIL> 2000 x"
+
+
 def test_licences(spark):
     rng = random.Random(8)
     names = list(licences.TEMPLATES)
