@@ -228,27 +228,29 @@ def verified(texts: DataFrame, similarity: float, n: int = SHINGLE_WORDS) -> Dat
 def classified(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
     """The signatures of all documents, and a table of nodes: node, copy_id, copies, root (of its class), links."""
     signed = written(signatures(documents, similarity, n), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
+    # The row that stands for a node: that of the least doc_id, and its text, as doc_ids may repeat.
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    nodes = signed.where("node is not null").groupBy("node").agg(least_row.alias("least"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("node", F.col("least.doc_id").alias("copy_id"), "least.text_key", "copies", "n_grams", "bands"), "nodes")
     dealt = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
     least = dealt.groupBy("band", "hash").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").drop("last")
     stars = dealt.join(least, ["band", "hash"]).select(F.col("node").alias("a"), "b")
     groups = written(components(stars), "groups")
 
     # Large groups are cut into parts; each pair of parts is a piece of work of its own.
-    sized = groups.join(nodes.select("node", "copies", "n_grams", "copy_id"), "node")
+    sized = groups.join(nodes.select("node", "copies", "n_grams", "copy_id", "text_key"), "node")
     total = sized.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n_grams").alias("grams"))
     cuts = total.select("root", F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("cuts"))
     cuts = written(cuts, "cuts")
     work = sized.join(cuts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     work = work.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    work = work.select("root", F.least("part", "k").alias("left"), F.greatest("part", "k").alias("right"), "part", "node", "copies", "copy_id")
+    work = work.select("root", F.least("part", "k").alias("left"), F.greatest("part", "k").alias("right"), "part", "node", "copies")
 
-    # One text of each node: that of its least doc_id with the node's key, as doc_ids may repeat.
-    chosen = signed.join(sized.select("node", "copy_id"), "node").where(F.col("doc_id").eqNullSafe(F.col("copy_id"))).select("doc_id", "node").distinct()
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = rows.join(chosen.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    ready = work.drop("copy_id").join(texts, "node")
+    # One text of each node, also where its row is repeated.
+    chosen = sized.select("node", F.col("copy_id").alias("_id"), F.col("text_key").alias("_key"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
+    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "text").dropDuplicates(["node"])
+    ready = work.join(texts, "node")
     ready = ready.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right", "node")
     links = written(verified(ready, similarity, n), "links")
 

@@ -67,6 +67,20 @@ def test_one_of_each(spark):
     assert neardup.one_of_each(frame(spark, [])).count() == 0 == neardup.near_duplicates(frame(spark, [])).count()
 
 
+def test_repeated_ids_in_groups(spark):
+    words = [f"u{i}" for i in range(100)]
+    text = " ".join(words)
+    near = " ".join([*words[:-1], "other"])
+    revised = " ".join("new" if i in (20, 50, 80) else w for i, w in enumerate(words))
+    # A repeated row beside a near copy: each of the three has the other two.
+    out = neardup.near_duplicates(frame(spark, [(1, text), (1, text), (2, near)])).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in out) == [(1, 1, 2, 1), (1, 1, 2, 1), (2, 1, 2, 0)]
+    # Two texts of one doc_id that meet in a group, but aren't similar enough.
+    rows = frame(spark, [(1, text), (1, revised)])
+    assert [r["n_links"] for r in neardup.near_duplicates(rows).collect()] == [0, 0]
+    assert sorted(r["text"] for r in neardup.one_of_each(rows).collect()) == sorted([text, revised])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"{i:04d}", f"{i + 1:04d}") for i in range(120)] + [("a0", f"a{i}") for i in range(1, 60)] + [("z", "z")]
     out = neardup.components(spark.createDataFrame(edges, "a string, b string"))
