@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -108,22 +109,11 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 # -- words and shingles as hashes -------------------------------------------------------------
 
+#: Longest span that is hashed by lanes, and an odd number that lanes are multiplied by.
+LANES_BYTES = 64
+_LANE_STEP = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_P, _P_INV)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads each input bit over all of them."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -164,21 +154,33 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are in order and don't overlap."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + 2 * SLICE_BYTES, "right")))
-        low, high = int(starts[i]), int(ends[j - 1])
-        power, inverse = _power_tables(high - low + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=sums[1:])
-        a, b = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
-        i = j
+    """A 64-bit hash of each byte span, by its bytes alone.
+
+    Spans of up to LANES_BYTES bytes are mixed eight bytes at a time, all spans at once; of longer ones the BLAKE2b digest is taken.
+    No polynomial is involved, whose collisions are known for such strings as Thue and Morse's.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(_LANE_STEP))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    at = np.flatnonzero(size <= LANES_BYTES)
+    for lane in range(0, LANES_BYTES, 8):
+        at = at[size[at] > lane]
+        if not len(at):
+            break
+        left = np.minimum(size[at] - lane, 8).astype(np.uint64)
+        value = words[starts[at] + lane] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        out[at] = mix((out[at] ^ value) * np.uint64(_LANE_STEP))
+    for i in np.flatnonzero(size > LANES_BYTES):
+        out[i] = digest64(data[starts[i] : ends[i]])
     return out
 
 
+def digest64(value) -> int:
+    """The first 64 bits of the BLAKE2b digest."""
+    return int.from_bytes(hashlib.blake2b(value, digest_size=8).digest(), "little")
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the offset of each row among them."""
     starts, ends = word_bounds(data, offsets)

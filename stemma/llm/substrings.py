@@ -5,7 +5,7 @@ Every byte covered by a LENGTH-byte string that also begins anywhere else, in th
 1. Strings are sorted into groups that are compared on their own. The least hash of a string's GRAM-byte parts is the
    same wherever the string begins; neighbouring strings share it, so a document is a sequence of runs of
    strings with one least hash at one place. A run's text is its strings' union, some LENGTH + LENGTH - GRAM bytes at most.
-2. Runs with a least hash of their own hold no repeated string. Runs of equal text, by a 128-bit key, repeat as a whole;
+2. Runs with a least hash of their own hold no repeated string. Runs of equal text, by their digest within the group, repeat as a whole;
    they are counted, never gathered. Only runs that share their least hash with runs of other text are compared.
 3. The texts of many groups are joined to one string, its suffixes sorted to depth LENGTH, and the common prefixes of
    neighbouring suffixes derived from the Burrows-Wheeler transform by breadth-first backward extension: intervals of
@@ -14,7 +14,7 @@ Every byte covered by a LENGTH-byte string that also begins anywhere else, in th
 4. A group of more than GROUP_BYTES distinct texts doesn't meet in one task: its strings are hashed one by one and
    counted map-side, which gives the same answer.
 
-Strings are told apart by 64-bit hashes within groups and by byte comparison in step 3.
+Strings are told apart by 64-bit BLAKE2b digests within groups and by byte comparison in step 3; the rolling hash only makes groups.
 
 Defined results: a null or empty text has 0 bytes and none removed. Texts shorter than LENGTH bytes keep all. Wholly equal rows
 repeat each other. An empty table gives no rows. Only doc_id and text are read.
@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mix, _power_tables, written
+from .common import digest64, mapped, mix, written
 
 LENGTH, GRAM = 400, 128
 #: Distinct texts of a group that are compared in one task, and texts that are compared at once.
@@ -45,16 +45,28 @@ _PACKED, _BITS = 7, 9
 # -- runs -----------------------------------------------------------------------------------------
 
 
-class _Hasher:
-    """Hashes of any byte range of a buffer."""
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _power_tables(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.sums[1:])
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+def _rolled(data: np.ndarray, width: int) -> np.ndarray:
+    """A rolling hash of each part of `width` bytes. It only sorts strings into groups: equal parts have equal values, unequal ones need not differ."""
+    n = len(data) + 1
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _BASE_INVERSE)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps, dtype=np.uint64)
+    sums = np.zeros(n, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][: n - 1], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * _powers[1][: n - width])
+
+
+def _digests(data: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The 64-bit BLAKE2b digest of each range, which tells texts of a group apart."""
+    view = memoryview(data)
+    return np.asarray([digest64(view[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)], np.uint64)
 
 
 def leftmost_least(values: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +96,10 @@ def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[t
     """
     for begin in range(0, max(0, len(data) - length + 1), CHUNK):
         part = data[begin : begin + CHUNK + length - 1]
-        hashed = _Hasher(part)
-        grams = np.arange(len(part) - gram + 1)
-        group, at = leftmost_least(hashed(grams, grams + gram), length - gram + 1)
+        group, at = leftmost_least(_rolled(part, gram), length - gram + 1)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         last = np.append(first[1:], len(at)) - 1
-        key, group = hashed(first, last + length), group[first]
+        key, group = _digests(part.tobytes(), first, last + length), group[first]
         head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
         times = np.diff(np.append(head, len(first)))
         yield group[head].view(np.int64), key[head].view(np.int64), first[head] + begin, last[head] + begin, last[head + times - 1] + begin, times
@@ -266,7 +276,7 @@ def _cut_texts(jobs: DataFrame, length: int) -> DataFrame:
                     size += len(own)
                     if p["large"]:
                         at = np.arange(len(own) - length + 1)
-                        strings = _Hasher(np.frombuffer(own, np.uint8))(at, at + length).view(np.int64)
+                        strings = _digests(own, at, at + length).view(np.int64)
                         rows += [(doc_id, key, p["group"], p["first"] + i, p["alone"], s, None) for i, s in enumerate(strings.tolist())]
                         size += 30 * len(at)
                     else:
