@@ -1,15 +1,24 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction.
 
-Base spans are e-mail addresses, IPv4 addresses, payment card numbers and phone numbers. They seed the bootstrap: words
-with a digit or an @ are instances, neighbouring words with digits that only spaces, hyphens and brackets part are one; the
-word and the two words before and after them are lexical patterns. Over ROUNDS rounds Spark scores
-the graph of patterns and instances: a pattern's confidence for a kind is the share of all its occurrences in the whole
-corpus that stand beside an instance of that kind; an instance that isn't a base span takes the best confidence of its
-patterns, and those at or above CONFIDENCE count as found and support patterns in the next round. A pattern needs
-SUPPORT different instances. Found instances are spans of the pattern's kind. Built-in SQL functions only.
+Base spans are e-mail addresses, IPv4 addresses, payment card numbers and phone numbers. They seed the bootstrap, as do words that
+look like generated keys (SECRET), which are evidence for a fifth kind and no spans by themselves. Instances are words
+with a digit or an @, without the marks and the key ("token=") around their value; neighbouring words with digits that only spaces, hyphens
+and brackets part are one. The one, two or three tokens (words and single marks, lower case) before and after an instance are lexical patterns; brackets and hyphens next to it don't count.
+Over at most ROUNDS rounds Spark scores the graph of patterns and instances:
+
+* a pattern's confidence for a kind is the share of all its occurrences in the whole corpus that stand beside an instance of that kind,
+  SUPPORT different ones at least; below LEAST it counts as none;
+* an instance that is no base span has for a kind 1 - (1 - l)(1 - r) of the best patterns before and after it; with CONFIDENCE or more it is
+  found, as of its best kind, and supports patterns in the next round.
+
+Rounds end when nothing changes. Found instances are spans of their kind. Built-in SQL functions only.
+
+Patterns are counted and joined as rows, with partial aggregation; a join takes a table of patterns as a broadcast only if it has at most BROADCAST_PATTERNS
+rows, else both sides are stored tables, whose large partitions Spark splits.
 
 Defined results: a null text counts as empty. Repeated rows each get a row, each counts as evidence. Spans of different kinds may overlap; sorted by
-start, kind, end. An empty table gives no rows. Only doc_id and text are read; mask() keeps all other columns.
+start, kind, end. Tokens and texts of any length are whole. A pattern doesn't reach over the next match of the same base pattern, or over the next word with a
+digit or an @. An empty table gives no rows. Only doc_id and text are read; mask() keeps all other columns.
 """
 
 from __future__ import annotations
@@ -20,14 +29,15 @@ from pyspark.sql import functions as F
 from .common import bundled, unbundled, written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
-#: Patterns are broadcast to the counting of words if they are no more than so many.
+#: The kind without a base pattern.
+FOUND_KINDS = (*KINDS, "secret")
+ROUNDS, SUPPORT, LEAST, CONFIDENCE = 5, 5, 0.5, 0.8
+#: Patterns are broadcast if they are no more than so many.
 BROADCAST_PATTERNS = 100_000
-#: The longest context word, in characters.
-CONTEXT_CHARS = 80
-CHUNK = 256
-#: Where the words of a pattern stand; left2 and right2 have two words.
-SIDES = ("left", "right", "left2", "right2")
+#: Tokens of the longest pattern.
+REACH = 3
+#: Matches, and tokens, that are taken at once.
+CHUNK, TOKENS_CHUNK = 256, 4096
 
 _SPACE = r"\x20\x09-\x0D"
 # The contract's patterns, rewritten so that each run of characters is entered once: possessive where nothing can be given
@@ -41,6 +51,12 @@ PATTERNS = {
 # A text without this has no match of the kind.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _INSTANCE = rf"(?<![^{_SPACE}])[^{_SPACE}]*[0-9@][^{_SPACE}]*+"
+_TOKEN = rf"[\p{{L}}\p{{N}}]++|[^\p{{L}}\p{{N}}{_SPACE}]"
+_NEAR = rf"^[{_SPACE}()\[\]-]*+((?:[{_SPACE}]*+(?:{_TOKEN})){{1,{REACH}}}+)"
+# Marks before an instance's value, and a key that an = or : parts from it.
+_LEAD = r"^[^\p{L}\p{N}]*+(?:[\p{L}_.-]++[=:]++[^\p{L}\p{N}]*+)?+"
+#: Twenty letters and digits at least that change from letters to digits four times.
+SECRET = r"^(?=(?:[0-9]*+[A-Za-z]++[0-9]++){4})[A-Za-z0-9]{20,}+$"
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -104,16 +120,10 @@ def _placed(text: Column, pattern: str, matches: Column, entry, kind: str) -> Co
 
 
 def _context(before: Column, after: Column) -> list[Column]:
-    """The word and the two words before and after, in lower case; empty where no white space lies between."""
-    word, gap = f"[^{_SPACE}]", f"[{_SPACE}]"
-    two_before = F.regexp_extract(F.lower(F.right(before, F.lit(2 * CONTEXT_CHARS))), rf"({word}++{gap}++{word}++){gap}+$", 1)
-    two_after = F.regexp_extract(F.lower(F.left(after, F.lit(2 * CONTEXT_CHARS))), rf"^{gap}+({word}+{gap}+{word}+)", 1)
-    return [
-        F.regexp_extract(F.lower(F.right(before, F.lit(CONTEXT_CHARS))), rf"([^{_SPACE}]++)[{_SPACE}]+$", 1).alias("left"),
-        F.regexp_extract(F.lower(F.left(after, F.lit(CONTEXT_CHARS))), rf"^[{_SPACE}]+([^{_SPACE}]+)", 1).alias("right"),
-        F.regexp_replace(two_before, f"{gap}+", " ").alias("left2"),
-        F.regexp_replace(two_after, f"{gap}+", " ").alias("right2"),
-    ]
+    """The last REACH tokens of one string and the first of another, in lower case and in order, without brackets and hyphens next to the instance."""
+    tokens = lambda near: F.regexp_extract_all(F.lower(near), F.lit(_TOKEN), F.lit(0))
+    last = F.reverse(F.regexp_extract(F.reverse(before), _NEAR, 1))
+    return [tokens(last).alias("left"), tokens(F.regexp_extract(after, _NEAR, 1)).alias("right")]
 
 
 def _span(kind: str, context: bool):
@@ -128,7 +138,7 @@ def base_spans(rows: DataFrame, text: str, context: bool = False) -> DataFrame:
     """rows with a column _base: the base spans of the text column; context adds their value and the words beside them."""
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
-    kind_of = _SPANS.replace("end:int", "end:int,value:string,left:string,right:string,left2:string,right2:string") if context else _SPANS
+    kind_of = _SPANS.replace("end:int", "end:int,value:string,left:array<string>,right:array<string>") if context else _SPANS
     for kind, pattern in PATTERNS.items():
         possible = F.contains(t, F.lit(_NEEDS[kind])) if kind in _NEEDS else t.rlike("[0-9][ -]?[0-9]")
         rows = rows.withColumn(f"_m_{kind}", F.when(possible, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
@@ -140,7 +150,7 @@ def base_spans(rows: DataFrame, text: str, context: bool = False) -> DataFrame:
 
 def ordered(spans: Column) -> Column:
     """Spans by start, then kind as listed, then end."""
-    rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
+    rank = lambda k: F.array_position(F.array(*map(F.lit, FOUND_KINDS)), k)
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.transform(F.array_sort(keyed), _bare)
 
@@ -154,39 +164,42 @@ def written_spans(spans: Column) -> Column:
 
 
 def _instances(text: Column) -> Column:
-    """Words with a digit or an @: value, start and end without marks at the ends, the whole word's start and end, how it joins its neighbours, and the words beside it.
+    """Words with a digit or an @: value, its start and end, the whole word's start and end, how it joins its neighbours, and the tokens beside it.
 
     gap is the length of what parts it from the word with a digit before if both may be one instance, else -1; open tells whether the next one may join.
     """
 
     def entry(m: Column, start: Column, before: Column, after: Column) -> Column:
-        value = F.regexp_replace(m, r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
-        first = start + F.length(F.regexp_extract(m, r"^([^\p{L}\p{N}]*)", 1))
+        lead = F.regexp_extract(m, _LEAD, 0)
+        rest = F.substring(m, F.length(lead) + 1, F.length(m))
+        value = F.regexp_replace(rest, r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+        first = start + F.length(lead)
         digits = m.rlike("[0-9]") & ~F.contains(m, F.lit("@"))
-        joins = digits & F.concat(before, F.regexp_extract(m, r"^([^\p{L}\p{N}]*)", 1)).rlike(r"^ [ ()\[\]-]*$")
+        joins = digits & F.concat(before, lead).rlike(r"^ [ ()\[\]-]*$")
         opens = digits & m.rlike(r"[\p{L}\p{N}][()\[\]-]*$")
         joints = [F.when(joins, F.length(before)).otherwise(-1).alias("gap"), opens.alias("open")]
         ends = [first.alias("start"), (first + F.length(value)).alias("end"), start.alias("from"), (start + F.length(m)).alias("to")]
-        return F.struct(value.alias("value"), *ends, *joints, *_context(before, after))
+        beside = _context(F.concat(before, lead), F.concat(F.substring(rest, F.length(value) + 1, F.length(rest)), after))
+        return F.struct(value.alias("value"), *ends, *joints, *beside)
 
     matches = F.regexp_extract_all(text, F.lit(_INSTANCE), F.lit(0))
-    none = F.array().cast("array<struct<value:string,start:int,end:int,from:int,to:int,gap:int,open:boolean,left:string,right:string,left2:string,right2:string>>")
+    none = F.array().cast("array<struct<value:string,start:int,end:int,from:int,to:int,gap:int,open:boolean,left:array<string>,right:array<string>>>")
     return F.when(text.rlike(_INSTANCE), _placed(text, _INSTANCE, matches, entry, "instance")).otherwise(none)
 
 
-def _measured(documents: DataFrame) -> DataFrame:
-    """doc_id, _text_key, _row, _base and _instances of each row, without the texts; written to the shared folder."""
-    rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = base_spans(rows.withColumn("_text_key", F.xxhash64("text", F.reverse("text"))), "text", context=True)
-    return written(rows.select("doc_id", "_text_key", F.monotonically_increasing_id().alias("_row"), "_base", _instances(F.col("text")).alias("_instances")), "measured")
+def _measured(documents: DataFrame, whole: bool = False) -> DataFrame:
+    """_row, doc_id (or whole rows as _doc), _base and _instances of each row; written to the shared folder, so that _row stays."""
+    rows = bundled(documents, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").alias("_id"))
+    rows = base_spans(rows, "text", context=True)
+    kept = F.col("_doc") if whole else F.col("_id").alias("doc_id")
+    return written(rows.select(F.monotonically_increasing_id().alias("_row"), kept, "_base", _instances(F.col("text")).alias("_instances")), "measured")
 
 
 def _graph_rows(measured: DataFrame) -> DataFrame:
-    """doc_id, _text_key, start, end, value, kind and the words beside: base spans as seeds, and instances that overlap none, with a null kind."""
-    keys = ["doc_id", "_text_key", "_row"]
+    """_row, start, end, value, kind, left and right: base spans, and instances that overlap none, with a null kind."""
     some = measured.where(F.size("_instances") > 0)
-    seeds = some.select(*keys, F.explode("_base").alias("s")).select(*keys, F.col("s.start").alias("from"), F.col("s.end").alias("to"), F.lit(-1).alias("gap"), F.lit(False).alias("open"), "s.*")
-    words = some.select(*keys, F.explode("_instances").alias("i")).where("i.value <> ''").select(*keys, "i.*", F.lit(None).cast("string").alias("kind"))
+    seeds = some.select("_row", F.explode("_base").alias("s")).select("_row", F.col("s.start").alias("from"), F.col("s.end").alias("to"), F.lit(-1).alias("gap"), F.lit(False).alias("open"), "s.*")
+    words = some.select("_row", F.explode("_instances").alias("i")).where("i.value <> ''").select("_row", "i.*", F.lit(None).cast("string").alias("kind"))
     both = seeds.unionByName(words)
     # Within a document: the furthest end of seeds begun so far, and the first start of those to come.
     order = Window.partitionBy("_row").orderBy("from", F.col("kind").isNull())
@@ -199,58 +212,91 @@ def _graph_rows(measured: DataFrame) -> DataFrame:
     free = both.where("kind is null").withColumn("_joined", F.lag("open").over(order) & (F.lag("to").over(order) == F.col("from") - F.col("gap")) & (F.col("gap") > 0))
     free = free.withColumn("_run", F.sum(F.when(F.col("_joined"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.array_sort(F.collect_list(F.struct("from", "value")))
-    runs = free.groupBy(*keys, "_run").agg(
+    runs = free.groupBy("_row", "_run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(parts, lambda x: x["value"]), " ").alias("value"), F.first("kind").alias("kind"),
-        *(F.min_by(c, "from").alias(c) for c in ("left", "left2")), *(F.max_by(c, "from").alias(c) for c in ("right", "right2")),
+        F.min_by("left", "from").alias("left"), F.max_by("right", "from").alias("right"),
     )
-    columns = ["doc_id", "_text_key", "start", "end", "value", "kind", *SIDES]
+    columns = ["_row", "start", "end", "value", "kind", "left", "right"]
     return both.where("kind is not null").select(*columns).unionByName(runs.select(*columns))
 
 
-def _word_counts(documents: DataFrame, words: DataFrame) -> DataFrame:
-    """word, total: how often each of the words, or of the pairs of neighbouring words, occurs in all texts, in lower case."""
-    split = F.filter(F.split(F.lower(F.col("text").cast("string")), f"[{_SPACE}]+"), lambda w: w != "")
-    pairs = lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
-    every = documents.where("text is not null").select(F.explode(_let(split, lambda w: F.concat(w, pairs(w)))).alias("word")).where("word <> ''")
-    if words.count() <= BROADCAST_PATTERNS:
-        every = every.join(F.broadcast(words), "word", "left_semi")
-        return every.groupBy("word").agg(F.count("*").alias("total"))
-    return every.groupBy("word").agg(F.count("*").alias("total")).join(words, "word", "left_semi")
-
-
-def discovered(documents: DataFrame, measured: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """doc_id, _text_key, _found: spans that the bootstrap adds to the base ones."""
-    held = _graph_rows(measured)
-    sides = F.array(*(F.struct(F.lit(x).alias("side"), F.col(x).alias("word")) for x in SIDES))
-    edges = held.withColumn("p", F.explode(sides)).where("p.word <> ''").select("doc_id", "_text_key", "start", "end", "value", "kind", "p.side", "p.word")
-    edges = written(edges, "pattern_edges")
-
-    # A pattern must be able to reach the support with all its instances; only such words are counted in the texts.
-    able = edges.groupBy("side", "word").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= support).select("side", "word")
-    totals = written(_word_counts(documents, able.select("word").distinct()), "pattern_totals")
-    edges = edges.join(able, ["side", "word"], "left_semi")
-    found = None
+def _edges(held: DataFrame) -> DataFrame:
+    """A row for each instance and pattern beside it: _row, start, end, value, kind, seed (the kind it is evidence for at first), side, pattern."""
+    left = [F.when(F.size("left") >= n, F.array_join(F.slice("left", -n, n), " ")) for n in range(1, REACH + 1)]
+    right = [F.when(F.size("right") >= n, F.array_join(F.slice("right", 1, n), " ")) for n in range(1, REACH + 1)]
+    sides = [F.struct(F.lit(side).alias("side"), p.alias("pattern")) for side, ps in (("left", left), ("right", right)) for p in ps]
+    seed = F.coalesce("kind", F.when(F.col("value").rlike(SECRET), "secret"))
+    edges = held.select("_row", "start", "end", "value", "kind", seed.alias("seed"), F.explode(F.array(*sides)).alias("p"))
+    return edges.where("p.pattern is not null").select("_row", "start", "end", "value", "kind", "seed", "p.side", "p.pattern")
+
+
+def _few(patterns: DataFrame) -> DataFrame:
+    """A stored table of patterns, to be broadcast if it is small enough."""
+    return F.broadcast(patterns) if patterns.count() <= BROADCAST_PATTERNS else patterns
+
+
+def _pattern_counts(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, total: how often each of the patterns occurs in all texts. Texts are cut into chunks of tokens that overlap by what a pattern needs."""
+    tokens = F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TOKEN), F.lit(0))
+    chunk = lambda t: F.transform(F.sequence(F.lit(1), F.size(t), F.lit(TOKENS_CHUNK)), lambda at: F.slice(t, at, F.lit(TOKENS_CHUNK + REACH - 1)))
+    chunks = documents.where(F.col("text").cast("string").rlike(rf"[^{_SPACE}]")).select(F.explode(_let(tokens, chunk)).alias("c"))
+
+    def grams(token: Column, at: Column) -> Column:
+        out = [token]
+        for n in range(1, REACH):
+            out.append(F.concat(out[-1], F.lit(" "), F.get(F.col("c"), at + n)))
+        return F.array(*out)
+
+    every = chunks.select(F.explode(F.flatten(F.transform(F.slice("c", 1, TOKENS_CHUNK), grams))).alias("pattern")).where("pattern is not null")
+    few = _few(patterns)
+    if few is not patterns:
+        every = every.join(few, "pattern", "left_semi")
+        return every.groupBy("pattern").agg(F.count("*").alias("total"))
+    return written(every.groupBy("pattern").agg(F.count("*").alias("total")), "every_pattern").join(patterns, "pattern", "left_semi")
+
+
+def discovered(documents: DataFrame, measured: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
+    """_row, _found: spans that the bootstrap adds to the base ones."""
+    edges = written(_edges(_graph_rows(measured)), "pattern_edges")
+    # A pattern must be able to reach the support with all its instances; only such patterns are counted in the texts.
+    able = edges.groupBy("side", "pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= support).select("pattern").distinct()
+    totals = written(_pattern_counts(documents, written(able, "able_patterns")), "pattern_totals")
+    place = ["_row", "start", "end"]
+    found, mark = None, None
     for _ in range(rounds):
-        known = edges if found is None else edges.join(found.withColumnRenamed("kind", "new"), ["doc_id", "_text_key", "start", "end"], "left").withColumn("kind", F.coalesce("kind", "new")).drop("new")
-        scores = known.where("kind is not null").groupBy("side", "word", "kind").agg(F.count_distinct("value").alias("values"), F.count("*").alias("n"))
-        scores = scores.where(F.col("values") >= support).join(totals, "word").withColumn("confidence", F.col("n") / F.greatest("total", "n"))
-        strong = scores.where(F.col("confidence") >= confidence).select("side", "word", F.col("kind").alias("as"), "confidence")
-        hits = edges.where("kind is null").join(strong, ["side", "word"])
-        best = hits.groupBy("doc_id", "_text_key", "start", "end").agg(F.max(F.struct("confidence", "as")).alias("b"))
-        found = written(best.select("doc_id", "_text_key", "start", "end", F.col("b.as").alias("kind")), "found")
-    return found.groupBy("doc_id", "_text_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_found"))
+        known = edges.withColumn("as", F.col("seed"))
+        if found is not None:
+            known = edges.join(found.withColumnRenamed("kind", "new"), place, "left").withColumn("as", F.coalesce("kind", "new", "seed"))
+        scores = known.where("`as` is not null").groupBy("side", "pattern", "as").agg(F.count_distinct("value").alias("values"), F.count("*").alias("n"))
+        scores = scores.where(F.col("values") >= support).join(totals, "pattern").withColumn("confidence", F.col("n") / F.greatest("total", "n"))
+        strong = written(scores.where(F.col("confidence") >= least).select("side", "pattern", "as", "confidence"), "strong_patterns")
+        hits = edges.where("kind is null").join(_few(strong), ["side", "pattern"])
+        best = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("confidence"))), F.lit(0.0))
+        hits = hits.groupBy(*place, "as").agg((1 - (1 - best("left")) * (1 - best("right"))).alias("score")).where(F.col("score") >= confidence)
+        found = hits.groupBy(*place).agg(F.max(F.struct("score", "as")).alias("b")).select(*place, F.col("b.as").alias("kind"))
+        found = written(found, "found")
+        now = found.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*place, "kind").cast("decimal(38,0)")).alias("h")).first()
+        if mark == (now["n"], now["h"]) or not now["n"]:
+            break
+        mark = (now["n"], now["h"])
+    return found.groupBy("_row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_found"))
+
+
+def _with_spans(documents: DataFrame, whole: bool) -> DataFrame:
+    """Each row with _spans, the base ones and those found, in order, and _base."""
+    measured = _measured(documents, whole)
+    rows = measured.drop("_instances").join(discovered(documents, measured), "_row", "left")
+    base = F.transform("_base", _bare)
+    return rows.select("*", ordered(F.concat(base, F.coalesce("_found", F.array().cast(_SPANS)))).alias("_spans"))
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
-    """A row for each document: counts by kind, the digest of base spans, and all spans as text."""
-    measured = _measured(documents)
-    extra = discovered(documents, measured)
-    rows = measured.drop("_instances").join(extra.withColumnRenamed("doc_id", "_id"), F.col("_id").eqNullSafe(F.col("doc_id")) & (measured["_text_key"] == extra["_text_key"]), "left")
+    """A row for each document: counts by kind, the digest of base spans, all spans as text, and how many of them the bootstrap adds."""
     count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.transform("_base", _bare)
-    spans = ordered(F.concat(base, F.coalesce("_found", F.array().cast(_SPANS))))
-    return rows.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *map(count, KINDS), F.sha2(written_spans(ordered(base)), 256).alias("base_sha256"), written_spans(spans).alias("spans")
+    digest = F.sha2(written_spans(ordered(F.transform("_base", _bare))), 256)
+    added = (F.size("_spans") - F.size("_base")).cast("long")
+    return _with_spans(documents, whole=False).select(
+        F.col("doc_id").cast("long").alias("doc_id"), *map(count, KINDS), digest.alias("base_sha256"), written_spans(F.col("_spans")).alias("spans"), added.alias("n_added")
     )
 
 
@@ -273,17 +319,12 @@ def _masked(text: Column, spans: Column) -> Column:
 
 def mask(documents: DataFrame) -> DataFrame:
     """documents with personal data in text replaced, n_chars to match if there is one, all other columns as they are."""
-    extra = discovered(documents, _measured(documents))
-    extra = extra.select(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key"), "_found")
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = bundled(documents, F.col("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(t, F.reverse(t)).alias("_text_key"))
-    rows = rows.join(extra, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    rows = base_spans(rows, "text").withColumn("_spans", ordered(F.concat("_base", F.coalesce("_found", F.array().cast(_SPANS)))))
-    rows = rows.withColumn("text", F.when(F.size("_spans") > 0, _masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
-    replaced = {"text": F.col("text")}
+    text = F.col("_doc.text").cast("string")
+    rows = _with_spans(documents, whole=True).withColumn("_masked", F.when(F.size("_spans") > 0, _masked(text, F.col("_spans"))))
+    replaced = {"text": F.coalesce("_masked", text)}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        replaced["n_chars"] = F.when(F.size("_spans") > 0, F.length("text").cast(kind)).otherwise(F.col("_doc.n_chars"))
+        replaced["n_chars"] = F.when(F.size("_spans") > 0, F.length("_masked").cast(kind)).otherwise(F.col("_doc.n_chars"))
     return unbundled(rows, documents, **replaced)
 
 

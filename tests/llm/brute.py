@@ -4,6 +4,8 @@ import collections
 import hashlib
 import re
 
+import regex
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -112,3 +114,85 @@ def removed(texts, length):
         left = bytes(c for c, g in zip(t, gone, strict=True) if not g)
         out.append((len(t), sum(gone), spans, hashlib.sha256(left).hexdigest()))
     return out
+
+
+TOKEN = regex.compile("[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\x20\x09-\x0d]")
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _beside(before, after):
+    joints = " \t\n\x0b\x0c\r()[]-"
+    return [t.lower() for t in TOKEN.findall(before.rstrip(joints))[-3:]], [t.lower() for t in TOKEN.findall(after.lstrip(joints))[:3]]
+
+
+def _instances(text):
+    """(start, end, value, kind or None, tokens before, tokens after) of base spans and of runs of other words with a digit or an @."""
+    held = {(a, b, k) for a, b, k in personal_data(text)}
+    out = []
+    for kind, pattern in BASE.items():
+        found = [m.span() for m in re.finditer(pattern, text)]
+        edges = [0, *(x for s in found for x in s), len(text)]
+        for n, (a, b) in enumerate(found):
+            if (a, b, kind) in held:
+                out.append((a, b, text[a:b], kind, *_beside(text[edges[2 * n] : a], text[b : edges[2 * n + 3]])))
+    words = [m for m in WORD.finditer(text) if re.search("[0-9@]", m[0])]
+    runs = []
+    for n, m in enumerate(words):
+        lead = regex.match(r"[^\p{L}\p{N}]*+(?:[\p{L}_.-]++[=:]++[^\p{L}\p{N}]*+)?+", m[0])[0]
+        value = regex.sub(r"[^\p{L}\p{N}]+$", "", m[0][len(lead) :])
+        if not value or any(a < m.end() and b > m.start() for a, b, _ in held):
+            continue
+        before, after = text[words[n - 1].end() if n else 0 : m.start()], text[m.end() : words[n + 1].start() if n + 1 < len(words) else len(text)]
+        digits = bool(re.search("[0-9]", m[0])) and "@" not in m[0]
+        start = m.start() + len(lead)
+        left, right = _beside(before + lead, m[0][len(lead) + len(value) :] + after)
+        joins = digits and before and re.fullmatch(r" [ ()\[\]-]*", before + lead)
+        if joins and runs and runs[-1]["at"] == n - 1 and runs[-1]["open"]:
+            runs[-1] |= {"end": start + len(value), "value": f"{runs[-1]['value']} {value}", "right": right}
+        else:
+            runs.append({"start": start, "end": start + len(value), "value": value, "left": left, "right": right})
+        runs[-1] |= {"at": n, "open": digits and bool(regex.search(r"[\p{L}\p{N}][()\[\]-]*$", m[0]))}
+    return out + [(r["start"], r["end"], r["value"], None, r["left"], r["right"]) for r in runs]
+
+
+def bootstrapped(texts, rounds=5, support=5, least=0.5, confidence=0.8):
+    """Per text the set of (kind, start, end) that the bootstrap adds."""
+    totals = collections.Counter()
+    for text in texts:
+        t = [x.lower() for x in TOKEN.findall(text or "")]
+        totals.update(" ".join(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    everything = [(row, *x) for row, text in enumerate(texts) for x in _instances(text or "")]
+    found = {}
+    for _ in range(rounds):
+        values, n = collections.defaultdict(set), collections.Counter()
+        patterns = []
+        for row, a, b, value, kind, left, right in everything:
+            own = [("left", " ".join(left[-k:])) for k in range(1, len(left) + 1)] + [("right", " ".join(right[:k])) for k in range(1, len(right) + 1)]
+            patterns.append(own)
+            secret = "secret" if regex.fullmatch("[A-Za-z0-9]{20,}", value) and regex.match("(?:[0-9]*+[A-Za-z]++[0-9]++){4}", value) else None
+            if known := kind or found.get((row, a, b)) or secret:
+                for p in own:
+                    values[p, known].add(value)
+                    n[p, known] += 1
+        strong = collections.defaultdict(dict)
+        for (p, kind), v in values.items():
+            score = n[p, kind] / max(totals[p[1]], n[p, kind]) if totals[p[1]] else 0
+            if len(v) >= support and score >= least:
+                strong[p][kind] = score
+        now = {}
+        for (row, a, b, _, kind, _, _), own in zip(everything, patterns, strict=True):
+            scores = {}
+            for k in {k for p in own for k in strong[p]} if kind is None else ():
+                best = {side: max([strong[p].get(k, 0) for p in own if p[0] == side], default=0) for side in ("left", "right")}
+                scores[k] = 1 - (1 - best["left"]) * (1 - best["right"])
+            if scores and max(scores.values()) >= confidence:
+                now[row, a, b] = max((s, k) for k, s in scores.items())[1]
+        if now == found:
+            break
+        found = now
+    return [{(k, a, b) for (row, a, b), k in found.items() if row == i} for i in range(len(texts))]

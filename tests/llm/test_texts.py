@@ -1,6 +1,7 @@
 """Operators on documents against plain versions, with the odd cases of their docstrings."""
 
 import random
+import re
 import zlib
 
 import brute
@@ -248,6 +249,56 @@ def test_bootstrap_finds_whole_identifiers(spark):
     assert masked[104] == "the hotline: <PHONE> <EMAIL> 2000 x"
 
 
+def added(rows):
+    """Spans beyond the base ones, of (text, written spans)."""
+    out = []
+    for text, spans in rows:
+        own = {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)}
+        out.append(own - {(k, a, b) for a, b, k in brute.personal_data(text)})
+    return out
+
+
+def test_bootstrap_equals_plain_version(spark):
+    rng = random.Random(5)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    number = lambda: f"{rng.randint(200, 999)} 555 {rng.randint(1000, 9999)}"
+    long = "k" * 2000
+    forms = [
+        lambda: f'token = "{hexes(40)}"', lambda: f'token = "{hexes(9)}"', lambda: f"key={hexes(32)}", lambda: f"key={hexes(6)};", lambda: f"call +1 {number()} today", lambda: f"call {number()} today",
+        lambda: f"call {number()}", lambda: f"{number()} today", lambda: f"{long}: +1 {number()}", lambda: f"{long}: {number()}", lambda: f"host <10.0.{rng.randint(0, 255)}.7> up", lambda: f"host <srv{rng.randint(0, 99)}> up",
+        lambda: f"mail:a{rng.randint(0, 99)}@b.org", lambda: f"mail:a{rng.randint(0, 99)}@intranet", lambda: "call today", lambda: f"item {rng.randint(0, 99)} of 7", lambda: f"STRASSE {rng.randint(1, 9)}{rng.choice('abc')}",
+    ]
+    forms += 5 * [forms[i] for i in (0, 2, 4, 8, 10, 12)]
+    texts = [" ".join(rng.choice(forms)() if rng.random() < 0.3 else rng.choice(VOCABULARY[:40]).strip("0123456789") for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", " ", "\U0001f642 1\U0001f642"]
+    texts += texts[:7]
+    rows = list(enumerate(texts))
+    out = sorted((r["doc_id"], r["spans"], r["n_added"]) for r in pii.personal_data(frame(spark, rows)).collect())
+    want = brute.bootstrapped(texts)
+    assert added([(t, o[1]) for t, o in zip(texts, out, strict=True)]) == want
+    assert [o[2] for o in out] == [len(w) for w in want]
+    kinds = {k for w in want for k, _, _ in w}
+    assert {"secret", "phone", "ip", "email"} <= kinds and any(f"{long}: {t[a:b]}" in t for t, w in zip(texts, want, strict=True) for _, a, b in w)
+
+
+def test_bootstrap_finds_the_keys_of_the_tables(spark):
+    """All generated keys of sf0.01 stand in one context and nothing else does: precision and recall 1."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    rows = {r["doc_id"]: r["spans"] for r in pii.personal_data(documents).collect()}
+    ids = sorted(texts)
+    found = added([(texts[i], rows[i]) for i in ids])
+    assert found == [{("secret", *m.span(1)) for m in re.finditer('token = "([0-9a-f]{40})"', texts[i])} for i in ids] and sum(map(len, found)) > 10
+    assert found == brute.bootstrapped([texts[i] for i in ids])
+
+
+def test_patterns_without_broadcast(spark, monkeypatch):
+    rows = [(k, f"report {k} call hotline: +1 743 555 {3000 + k} now") for k in range(12)] + [(20, "the hotline: 743-555-2000 works")]
+    want = sorted(pii.personal_data(frame(spark, rows)).collect())
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)
+    monkeypatch.setattr(pii, "TOKENS_CHUNK", 4)
+    assert sorted(pii.personal_data(frame(spark, rows)).collect()) == want and want[-1]["n_added"] == 1
+
+
 def test_licences(spark):
     rng = random.Random(8)
     names = list(licences.TEMPLATES)
@@ -361,3 +412,26 @@ def test_extraction_by_salted_join(spark, monkeypatch):
     rows = [(i, f"http://h{i % 3}/a", PAGE) for i in range(30)]
     out = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["text"] for r in out} == {extraction.main_text(PAGE, None)} and len(out) == 30
+
+
+def thue_morse(n, a, b):
+    out = [a]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return out[:n]
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 8192])
+def test_strings_that_polynomial_hashes_confuse(spark, size):
+    """Thue and Morse's word and its complement are equal to any polynomial hash modulo 2**64."""
+    x, y = "".join(thue_morse(size, "a", "b")), "".join(thue_morse(size, "b", "a"))
+    texts = [x, y, f"{x} {y}", f"{y}\n{x}\n{x}", " ".join([x, "one", "two", y, "one", "two", x]), x]
+    rows = list(enumerate(texts))
+    measures = {r["doc_id"]: r for r in quality.quality(frame(spark, rows), None).collect()}
+    for i, t in rows:
+        assert tuple(measures[i][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == brute.quality_base(t)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.near_duplicates(rows) and got[0] == (0, 1, 1) and got[1] == (1, 0, 0)
+    if size == 1024:
+        removed = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+        assert [removed[i] for i, _ in rows] == brute.removed([t.encode() for t in texts], 400)
