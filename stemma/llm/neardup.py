@@ -4,10 +4,12 @@
    copies and are collapsed to a node. BANDS bands of ROWS rows meet with probability RECALL at the least similarity.
 2. Nodes are dealt by band hash; each bucket links its nodes to its least one: a star, never all pairs. Connected
    components of the stars are the candidate groups.
-3. Texts of nodes in groups are read again, and each group's n-gram sets are compared within the group, as
-   products of sparse 0/1 blocks. Groups of over BLOCK_NODES nodes or BLOCK_GRAMS n-grams are cut into salted parts
-   whose pairs are separate tasks' work. Tasks emit a count of links for each node and a spanning forest of their links,
-   both linear in the nodes, never the pairs.
+3. The n-gram sets of nodes in groups are made once, from one text of each node, and stored. A group's sets are compared as
+   products of sparse 0/1 blocks. A group of over BLOCK_NODES nodes or BLOCK_GRAMS n-grams is either cut into salted parts whose pairs
+   are separate tasks' work, or compared bucket by bucket (buckets cut alike, a pair counts in the first band it shares), whichever sends fewer
+   sets: a dense group of n near copies is the former, n * n / BLOCK_NODES sets, a chain of loosely joined documents the latter, at most one set for each
+   band and part of its bucket. Either way a pair at the least similarity is compared with probability RECALL or more. Tasks emit a count of
+   links for each node and a spanning forest of their links, both linear in the nodes, never the pairs.
 4. Connected components of the forests are the classes.
 
 Defined results: a null, empty or all-space text has no n-gram, no link and a class of its own. A text of fewer than
@@ -93,6 +95,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     mark = None
     for _ in range(64):
         # Large star: each node's larger neighbours move to its least neighbour.
@@ -156,18 +160,30 @@ def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return out
 
 
-def compare(sets: list[np.ndarray], copies: np.ndarray, part: np.ndarray, parts: tuple[int, int], similarity: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """For each set the number of documents it links to, and spanning edges, of the pairs between two parts (or within one)."""
+def compare(sets: list[np.ndarray], copies: np.ndarray, part: np.ndarray, parts: tuple[int, int], similarity: float, earlier: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each set the number of documents it links to, and spanning edges, of the pairs between two parts (or within one).
+
+    earlier: hashes of the bands before this bucket's, a row for each set; pairs that share one have been counted there.
+    """
     left = np.flatnonzero(part == parts[0])
     right = left if parts[0] == parts[1] else np.flatnonzero(part == parts[1])
     found = np.zeros(len(sets), np.int64)
     edges: list[tuple[int, int]] = []
     if not len(left) or not len(right):
         return found, edges
+    due = None
+    if earlier is not None and earlier.shape[1]:
+        due = np.ones((len(left), len(right)), bool)
+        for band in earlier.T:
+            due &= band[left][:, None] != band[right][None]
+        if not due.any():
+            return found, edges
     sizes = np.asarray([len(s) for s in sets], np.float64)
     common = _counts([sets[i] for i in left], [sets[j] for j in right]) if left is not right else _counts([sets[i] for i in left], [sets[i] for i in left])
     union = sizes[left][:, None] + sizes[right][None] - common
     links = common >= similarity * union - 1e-9
+    if due is not None:
+        links &= due
     if left is right:
         np.fill_diagonal(links, False)
         found[left] = links @ copies[left]
@@ -199,19 +215,34 @@ def _streamed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.concat_tables(held)
 
 
-def verified(texts: DataFrame, similarity: float, n: int = SHINGLE_WORDS) -> DataFrame:
-    """From (root, left, right, part, node, copies, text): rows (node, n_links, other); other, if not null, is a link of a spanning forest."""
+_JOB = ["root", "band", "hash", "left", "right"]
+
+
+def gram_table(texts: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
+    """From (node, text): node and its n-gram set, as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _streamed(batches, ["root", "left", "right"]):
-            data, offsets = text_buffers(group.column("text").combine_chunks() if isinstance(group.column("text"), pa.ChunkedArray) else group.column("text"))
-            sets: list[np.ndarray] = []
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
             for i, j in slices(offsets):
                 hashes, at = shingle_hashes(*word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), n)
                 grams, at = gram_sets(hashes, at)
-                sets += [grams[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            node = group.column("node").to_pylist()
-            found, edges = compare(sets, group.column("copies").to_numpy(), group.column("part").to_numpy(), (group.column("left")[0].as_py(), group.column("right")[0].as_py()), similarity)
+                sets = [grams[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["node", "grams"])
+
+    return mapped(texts, run, "node binary, grams binary")
+
+
+def verified(jobs: DataFrame, similarity: float) -> DataFrame:
+    """From (root, band, hash, left, right, part, node, copies, bands, grams): rows (node, n_links, other); other, if not null, is a link of a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _streamed(batches, _JOB):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("grams")]
+            node, band = group.column("node").to_pylist(), group.column("band")[0].as_py()
+            earlier = np.asarray([x[:band] for x in group.column("bands").to_pylist()], np.int64).reshape(len(sets), band) if band > 0 else None
+            parts = (group.column("left")[0].as_py(), group.column("right")[0].as_py())
+            found, edges = compare(sets, group.column("copies").to_numpy(), group.column("part").to_numpy(), parts, similarity, earlier)
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -222,7 +253,36 @@ def verified(texts: DataFrame, similarity: float, n: int = SHINGLE_WORDS) -> Dat
                 names=["node", "n_links", "other"],
             )
 
-    return mapped(texts, run, "node binary, n_links long, other binary")
+    return mapped(jobs, run, "node binary, n_links long, other binary")
+
+
+def _cuts(nodes: Column, grams: Column) -> Column:
+    """Parts of a group or bucket."""
+    return F.greatest(F.ceil(nodes / BLOCK_NODES), F.ceil(grams / BLOCK_GRAMS)).cast("int")
+
+
+def _jobs(sized: DataFrame) -> DataFrame:
+    """Pieces of comparison work, a row for each node in each: root, band, hash, left, right, part, node, copies, bands.
+
+    sized: a stored table (node, root, copies, n_grams, bands). A job of a whole group has band -1, one of a bucket an empty root.
+    """
+    total = sized.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n_grams").alias("grams"))
+    total = written(total.select("root", "nodes", _cuts(F.col("nodes"), F.col("grams")).alias("cuts")), "totals")
+    large = written(sized.join(total.where("cuts > 1").select("root"), "root", "left_semi").select("root", "node", "copies", "n_grams", "bands", F.posexplode("bands").alias("band", "hash")), "large")
+    buckets = large.groupBy("root", "band", "hash").agg(F.count("*").alias("nodes"), F.sum("n_grams").alias("grams")).where("nodes > 1")
+    buckets = written(buckets.select("root", "band", "hash", "nodes", _cuts(F.col("nodes"), F.col("grams")).alias("cuts")), "buckets")
+    cheaper = buckets.groupBy("root").agg(F.sum(F.col("nodes") * F.col("cuts")).alias("sent")).join(total, "root").where("sent < nodes * cuts")
+    cheaper = written(cheaper.select("root"), "by_bucket")
+
+    cut = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    job = [F.least("part", "k").alias("left"), F.greatest("part", "k").alias("right"), "part", "node", "copies"]
+    groups = written(total.join(cheaper, "root", "left_anti").select("root", "cuts"), "cuts")
+    whole = sized.join(groups, "root").withColumn("part", cut).withColumn("k", parts)
+    whole = whole.select("root", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("hash"), *job, F.lit(None).cast("array<long>").alias("bands"))
+    chosen = written(buckets.join(cheaper, "root", "left_semi").select("band", "hash", "cuts"), "chosen_buckets")
+    single = large.join(chosen, ["band", "hash"]).withColumn("part", cut).withColumn("k", parts)
+    return whole.unionByName(single.select(F.lit(b"").alias("root"), "band", "hash", *job, "bands"))
 
 
 def classified(documents: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -237,22 +297,15 @@ def classified(documents: DataFrame, similarity: float = SIMILARITY, n: int = SH
     stars = dealt.join(least, ["band", "hash"]).select(F.col("node").alias("a"), "b")
     groups = written(components(stars), "groups")
 
-    # Large groups are cut into parts; each pair of parts is a piece of work of its own.
-    sized = groups.join(nodes.select("node", "copies", "n_grams", "copy_id", "text_key"), "node")
-    total = sized.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n_grams").alias("grams"))
-    cuts = total.select("root", F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("cuts"))
-    cuts = written(cuts, "cuts")
-    work = sized.join(cuts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    work = work.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    work = work.select("root", F.least("part", "k").alias("left"), F.greatest("part", "k").alias("right"), "part", "node", "copies")
-
+    sized = written(groups.join(nodes, "node"), "sized")
     # One text of each node, also where its row is repeated.
     chosen = sized.select("node", F.col("copy_id").alias("_id"), F.col("text_key").alias("_key"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
     texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "text").dropDuplicates(["node"])
-    ready = work.join(texts, "node")
-    ready = ready.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right", "node")
-    links = written(verified(ready, similarity, n), "links")
+    sets = written(gram_table(texts, n), "sets")
+    jobs = written(_jobs(sized), "jobs").join(sets, "node")
+    jobs = jobs.repartition(*_JOB).sortWithinPartitions(*_JOB, "node")
+    links = written(verified(jobs, similarity), "links")
 
     classes = components(links.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.where("other is null").groupBy("node").agg(F.sum("n_links").alias("links"))
@@ -267,7 +320,8 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, n: int
     number of other documents at least as similar, n_copies of those that are copies.
     """
     signed, labelled = classified(documents, similarity, n)
-    table = labelled.join(labelled.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root")
+    # Stored, as a node may stand for any number of copies: Spark splits large partitions only of plain exchanges.
+    table = written(labelled.join(written(labelled.groupBy("root").agg(F.min("copy_id").alias("class_id")), "class_ids"), "root"), "labelled")
     out = signed.select("doc_id", "node").join(table, "node", "left")
     alone = F.col("node").isNull()
     return out.select(

@@ -59,6 +59,20 @@ def test_jaccard_join_in_parts(spark, corpus, monkeypatch):
     assert got == brute.near_duplicates(corpus)
 
 
+def test_jaccard_join_of_loose_groups(spark, monkeypatch):
+    """A chain of documents, each like its neighbours only, is one candidate group; its buckets are compared, not all its pairs."""
+    rng = random.Random(3)
+    words = [rng.choice(VOCABULARY) + str(k) for k in range(2500)]
+    rows = [(k, " ".join(words[12 * k : 12 * k + 120])) for k in range(150)] + [(200, " ".join(words[:120])), (201, " ".join(words[1:120]))]
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 7)
+    seen = {}
+    monkeypatch.setattr(neardup, "verified", lambda jobs, similarity, f=neardup.verified: seen.setdefault("links", f(seen.setdefault("jobs", jobs), similarity)))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.near_duplicates(rows)
+    jobs = seen["jobs"]
+    assert jobs.where("band >= 0").count() > 0 and jobs.where("band >= 0").groupBy("node").count().agg({"count": "max"}).first()[0] <= 4 * neardup.bands_for(0.8, neardup.RECALL, neardup.ROWS)
+
+
 def test_one_of_each(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, ""), (2, ""), (3, None), (4, "x y"), (4, "x y"), (4, "z w q"), (None, "n1 n2"), (None, "n1 n2")]
     out = neardup.one_of_each(frame(spark, rows))
