@@ -7,17 +7,18 @@ lies whole in a window and its containment bounds the Jaccard similarity of wind
 add up. A collision makes a candidate; verification counts the item's distinct shingles in the whole text, word for word.
 
 Items are the query set: they go to the workers in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters (a longer item
-is a block of its own), all documents are searched for each block.
+is a block of its own), all documents are searched for each block. Blocks are made, searched and given back one after the other, so that driver and workers hold
+one at a time, however large the benchmark is; a block keeps items as text and makes the n-grams of those that are looked at.
 
 Defined results: null and empty texts hold no shingle and match nothing. An item or document of one to four words has one
 shingle, of all its words. Wholly equal items count once; repeated documents each get rows. Empty tables give no rows.
-Only doc_id and text, and item_id and text, are read.
+Texts of any length are searched whole. Only doc_id and text, and item_id and text, are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, bands_for, mapped, minhash, shingle_hashes, slices, text_buffers, word_hashes
+from .common import SHINGLE_WORDS, SIMILARITY, bands_for, bundled, mapped, minhash, shingle_hashes, slices, text_buffers, unbundled, word_hashes, written
 
 RECALL = 0.9999
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
+BLOCK_ITEMS, BLOCK_CHARS = 50_000, 16 << 20
+#: Items whose n-grams a worker remembers.
+REMEMBERED = 4096
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -50,12 +53,12 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str], similarity: float = SIMILARITY, recall: float = RECALL):
         self.similarity = similarity
-        sets = [shingles(t) for t in texts]
-        keep = [i for i, s in enumerate(sets) if s]
-        self.ids, self.sets = [ids[i] for i in keep], [sets[i] for i in keep]
-        data, offsets = text_buffers(pa.array([texts[i] for i in keep], pa.string()))
+        keep = [i for i, t in enumerate(texts) if _WORD.search(t)]
+        self.ids, self.texts = [ids[i] for i in keep], [texts[i] for i in keep]
+        self.sizes = sizes = np.asarray([len(shingles(t)) for t in self.texts], np.int64)
+        self._known: dict[int, set[tuple[str, ...]]] = {}
+        data, offsets = text_buffers(pa.array(self.texts, pa.string()))
         hashes, at = shingle_hashes(*word_hashes(data, offsets))
-        sizes = np.asarray([len(s) for s in self.sets], np.int64)
         self.partitions: list[Partition] = []
         level = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int) if len(sizes) else sizes
         for x in np.unique(level):
@@ -66,6 +69,13 @@ class Index:
             self.partitions.append(Partition(size, bands, items, minhash(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), bands)))
         self.bands = max((p.bands for p in self.partitions), default=0)
 
+    def shingles(self, item: int) -> set[tuple[str, ...]]:
+        if item not in self._known:
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            self._known[item] = shingles(self.texts[item])
+        return self._known[item]
+
     def candidates(self, hashes: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
         """Pairs of (row, item) that collide in a band."""
         found: set[tuple[int, int]] = set()
@@ -122,64 +132,90 @@ class Index:
             for row, items in by_row.items():
                 own = shingles(data[offsets[i + row] : offsets[i + row + 1]].tobytes().decode())
                 for item in items:
-                    shared = len(self.sets[item] & own)
-                    if shared >= self.similarity * len(self.sets[item]):
+                    shared = len(self.shingles(item) & own)
+                    if shared >= self.similarity * self.sizes[item]:
                         yield i + row, item, shared
 
 
-def item_blocks(benchmark: DataFrame, similarity: float = SIMILARITY) -> Iterator[Index]:
-    """Indexes of all items, some at a time."""
+def item_blocks(benchmark: DataFrame, similarity: float = SIMILARITY) -> tuple[int, Iterator[Index]]:
+    """How many blocks there are, and the index of each as it is asked for."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").dropDuplicates(["item_id", "text"])
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        if rows:
+
+    def made() -> Iterator[Index]:
+        for k in range(blocks):
+            rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
             yield Index([r["item_id"] for r in rows], [r["text"] for r in rows], similarity)
 
+    return blocks, made()
+
 
 SCHEMA = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
+_KEY = "doc_id long, text_key long"
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles and containment of each item in each document that holds it."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for index in item_blocks(benchmark, similarity):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+def _searched(rows: DataFrame, benchmark: DataFrame, similarity: float, schema: str, found: Callable[[Index, pa.RecordBatch, list], pa.RecordBatch]) -> DataFrame:
+    """What `found` makes of a batch's hits, for all blocks. Each block's rows are stored before the next one is made, and its broadcast is given back."""
+    context, out = rows.sparkSession.sparkContext, None
+    for index in item_blocks(benchmark, similarity)[1]:
+        shared = context.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
-                hits = list(index.search(batch.column(1)))
+                hits = list(shared.value.search(batch.column("text")))
                 if hits:
-                    row, item, n = zip(*hits, strict=True)
-                    sizes = [len(index.sets[x]) for x in item]
-                    ids = pa.array([None if index.ids[x] is None else int(index.ids[x]) for x in item], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row)), ids, pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), pa.array([a / b for a, b in zip(n, sizes, strict=True)], pa.float64())],
-                        names=["doc_id", "item_id", "n_shared", "n_shingles", "containment"],
-                    )
+                    yield found(shared.value, batch, hits)
+
+        block = written(mapped(rows, run, schema), "hits")
+        shared.destroy()
+        out = block if out is None else out.unionByName(block)
+    return out
 
-        found = mapped(rows, run, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else documents.sparkSession.createDataFrame([], SCHEMA)
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, item_id, n_shared, n_shingles and containment of each item in each document that holds it."""
+
+    def found(index: Index, batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+        row, item, n = zip(*hits, strict=True)
+        sizes = [int(index.sizes[x]) for x in item]
+        ids = pa.array([None if index.ids[x] is None else int(index.ids[x]) for x in item], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(row)), ids, pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), pa.array([a / b for a, b in zip(n, sizes, strict=True)], pa.float64())],
+            names=["doc_id", "item_id", "n_shared", "n_shingles", "containment"],
+        )
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _searched(rows, benchmark, similarity, SCHEMA, found)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    for index in item_blocks(benchmark, similarity):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+    """The documents that hold no item, with all their columns.
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    A single block filters in place; of several the rows found are gathered and left out by one join at the end.
+    """
+    blocks, indexes = item_blocks(benchmark, similarity)
+    if blocks == 1:
+        shared = documents.sparkSession.sparkContext.broadcast(next(indexes))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for row, _, _ in shared.value.search(batch.column("text")):
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        documents = mapped(documents, run, documents.schema)
-    return documents
+        return mapped(documents, run, documents.schema)
+
+    def found(index: Index, batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+        rows = pa.array(sorted({row for row, _, _ in hits}))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_key").take(rows)], names=["doc_id", "text_key"])
+
+    text = F.col("text").cast("string")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    leaks = written(_searched(rows, benchmark, similarity, _KEY, found).distinct(), "leaks")
+    every = bundled(documents, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
+    return unbundled(every.join(leaks, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left_anti"), documents)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -187,14 +223,14 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 _SQL_SHINGLES = """
-  SELECT {id}, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)) WHEN len(w) > 0 THEN [w] ELSE [] END AS s
-  FROM (SELECT {id}, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table})
+  SELECT r, {id}, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)) WHEN len(w) > 0 THEN [w] ELSE [] END AS s
+  FROM (SELECT row_number() OVER () AS r, {id}, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table})
 """
 OP6_SQL = f"""
-WITH d AS (SELECT DISTINCT doc_id, unnest(s) AS s FROM ({_SQL_SHINGLES.format(id="doc_id", table="documents")})),
-b AS (SELECT DISTINCT item_id, unnest(s) AS s FROM ({_SQL_SHINGLES.format(id="item_id", table="benchmark")})),
-n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
-SELECT doc_id::BIGINT AS doc_id, item_id::BIGINT AS item_id, count(*)::BIGINT AS n_shared, any_value(n_shingles)::BIGINT AS n_shingles,
+WITH d AS (SELECT DISTINCT r AS document, doc_id, unnest(s) AS s FROM ({_SQL_SHINGLES.format(id="doc_id", table="documents")})),
+b AS (SELECT DISTINCT r AS item, item_id, unnest(s) AS s FROM ({_SQL_SHINGLES.format(id="item_id", table="(SELECT DISTINCT item_id, text FROM benchmark)")})),
+n AS (SELECT item, count(*) AS n_shingles FROM b GROUP BY item)
+SELECT any_value(doc_id)::BIGINT AS doc_id, any_value(item_id)::BIGINT AS item_id, count(*)::BIGINT AS n_shared, any_value(n_shingles)::BIGINT AS n_shingles,
   count(*) / any_value(n_shingles)::DOUBLE AS containment
-FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles)
+FROM d JOIN b USING (s) JOIN n USING (item) GROUP BY document, item HAVING count(*) >= 0.8 * any_value(n_shingles)
 """

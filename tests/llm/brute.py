@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html
 import re
 
 import regex
@@ -196,3 +197,15 @@ def bootstrapped(texts, rounds=5, support=5, least=0.5, confidence=0.8):
             break
         found = now
     return [{(k, a, b) for (row, a, b), k in found.items() if row == i} for i in range(len(texts))]
+
+
+def main_text(page):
+    """The text of a page whose article is an article element, by cutting strings."""
+    text = re.search("<article>(.*?)</article>", page or "", re.S)
+    if not text:
+        return ""
+    text = re.sub("<(script|style|form|aside|nav|footer)\\b.*?</\\1>|<!--.*?-->", "\0", text[1], flags=re.S)
+    text = re.sub('<div class="(?:ad|comments?)">.*?</div>', "\0", text, flags=re.S)
+    text = re.sub("</?(?:p|br|h[1-6]|div|ul|ol|li|table|tr|td|th|blockquote|pre|section|header)\\b[^>]*>", "\0", text)
+    blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in text.split("\0"))
+    return "\n".join(x for x in blocks if x)

@@ -1,7 +1,9 @@
 """Operators on documents against plain versions, with the odd cases of their docstrings."""
 
+import gc
 import random
 import re
+import weakref
 import zlib
 
 import brute
@@ -132,6 +134,29 @@ def test_item_blocks_cover_all(spark, monkeypatch):
     assert got == {(k, k) for k in range(20)}
 
 
+def test_blocks_are_given_back(spark, monkeypatch):
+    """However many blocks there are, one index is held at a time."""
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(decontamination, "REMEMBERED", 1)
+    alive, most = set(), []
+
+    def counted(self, *a, made=decontamination.Index.__init__):
+        made(self, *a)
+        alive.add(id(self))
+        weakref.finalize(self, alive.discard, id(self))
+        gc.collect()
+        most.append(len(alive))
+
+    monkeypatch.setattr(decontamination.Index, "__init__", counted)
+    rng = random.Random(7)
+    items = [(k, prose(rng, 12)) for k in range(16)]
+    documents = [(k % 14, f"{prose(rng, 50)} {x} {prose(rng, 50)}") for k, x in items] + [(50, prose(rng, 30)), (51, None), (50, items[0][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    kept = decontamination.drop_contaminated(frame(spark, documents), benchmark)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(50, documents[16][1]), (51, None)] and kept.columns == frame(spark, documents).columns
+    assert len(most) >= 8 and max(most) <= 2
+
+
 def junk(rng, n, kind):
     if kind == 0:
         return " ".join(w + "%%%" for w in prose(rng, n).split(" "))
@@ -397,6 +422,15 @@ def test_extraction(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_extraction_equals_plain_version(spark, sf):
+    """On all pages of the tables."""
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    out = {r["page_id"]: r["text"] for r in extraction.extract(pages).collect()}
+    assert out == {i: brute.main_text(h) for i, h in html.items()} and len(out) >= 50
+
+
 def test_extraction_from_layout_names():
     story = " ".join(["story"] * 40)
     for name in ("container sidebar-right", "elementor-widget-container", "text-navy content", "page widget", "notice", "comments-open"):
@@ -421,7 +455,7 @@ def test_extraction_by_long_paths(spark):
         assert [r["text"] for r in out] == [" ".join(["word"] * 60)] * 3
 
 
-def test_extraction_by_salted_join(spark, monkeypatch):
+def test_extraction_by_plain_join(spark, monkeypatch):
     monkeypatch.setattr(extraction, "BROADCAST_HOSTS", 0)
     rows = [(i, f"http://h{i % 3}/a", PAGE) for i in range(30)]
     out = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
