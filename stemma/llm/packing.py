@@ -8,7 +8,7 @@ counts allow and so exhausts a length: the number of patterns is bounded by the
 then get ranks within their length, salted so that a hot length is spread over tasks, and look up their place.
 
 Defined results: a null or empty text is one piece, the end token alone. Repeated rows and repeated doc_ids
-are packed each on its own. An empty table gives no rows. Only doc_id and text are read.
+are packed each on its own; a text of any length is cut into pieces, all of which are packed. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from .common import mapped, slices, text_buffers, written
 
 MAX_TOKENS = 4096
 END_TOKEN = 1
-#: Tasks that share the ranks of one length.
-SALTS = 64
+#: Pieces of one length that a task ranks, at least, and the most tasks beyond one a length.
+RANK_ROWS, RANK_TASKS = 1 << 14, 1 << 17
 #: Entries of a worker's table of known ids, and the longest key; longer ones are encoded each time.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 
@@ -199,14 +199,23 @@ def places(patterns: list[tuple[int, list[int]]]) -> dict[str, list[int]]:
 
 
 def pack(pieces: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
-    """pieces with sequence_id and offset. pieces should be a stored table, as it is read more than once."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    """pieces with sequence_id and offset.
+
+    The pieces of a length are dealt to as many tasks as their number asks for, by their place in the stored table, whatever their ids.
+    """
+    pieces = written(pieces.withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    lengths = pieces.groupBy("length").agg(F.count("*").alias("n"))
+    # At most `size` rows.
+    counted = [(r["length"], r["n"]) for r in lengths.collect()]
+    total = sum(n for _, n in counted)
+    each = max(RANK_ROWS, -(-total // RANK_TASKS))
+    salts = pieces.sparkSession.createDataFrame([(x, -(-n // each)) for x, n in counted], "length long, _salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("_at"), "_salts"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    # At most size * SALTS rows.
+    # At most size + RANK_TASKS rows.
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("_first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    histogram = {r["length"]: r["n"] for r in first.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = places(plan(histogram, size))
+    table = places(plan(dict(counted), size))
     order = np.lexsort((table["rank"], table["length"]))
     lengths, ranks, sequences, offsets = (np.asarray(table[k], np.int64)[order] for k in ("length", "rank", "sequence_id", "offset"))
     begin = np.searchsorted(lengths, np.arange(size + 2))
@@ -227,10 +236,10 @@ def pack(pieces: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
                 [*(batch.column(c) for c in kept), pa.array(sequences[at] + rank - ranks[at]), pa.array(offsets[at])], names=[*kept, "sequence_id", "offset"]
             )
 
-    row = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32"))
+    row = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_at"))
     ranked = salted.withColumn("_row", row.cast("long")).join(F.broadcast(first.drop("n")), ["length", "_salt"])
-    columns = [c for c in pieces.columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
+    columns = [c for c in pieces.columns if c != "_at"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != "_at") + ", sequence_id long, offset long"
     return mapped(ranked.select(*columns, "_first", "_row"), look_up, schema)
 
 
@@ -241,7 +250,7 @@ def default_tokenizer() -> str:
 
 
 def packed_documents(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    return pack(written(tokenized_pieces(documents, tokenizer or default_tokenizer()), "pieces"))
+    return pack(tokenized_pieces(documents, tokenizer or default_tokenizer()))
 
 
 def op2_pack(spark, sf_dir: str) -> DataFrame:
