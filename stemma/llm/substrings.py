@@ -352,12 +352,13 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay) of each document."""
     rows = _rows(documents)
     every = written(_all_runs(rows, length, gram), "runs")
-    shared = every.groupBy("group").agg(F.sum("times").alias("n")).where("n > 1").select("group")
+    # The small side of a join on groups is stored first: both sides then are plain exchanges, whose large partitions Spark splits.
+    shared = written(every.groupBy("group").agg(F.sum("times").alias("n")).where("n > 1").select("group"), "shared")
     live = written(every.join(shared, "group", "left_semi"), "live")
     texts = live.groupBy("group", "key").agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "text_key", "first", "last")).alias("r"))
     texts = written(texts.select("group", "key", "n", "r.*"), "texts")
     groups = texts.groupBy("group").agg(F.count("*").alias("texts"), F.sum(F.col("last") - F.col("first") + length).alias("bytes")).where("texts > 1")
-    parts = texts.join(groups, "group").select(
+    parts = texts.join(written(groups, "groups"), "group").select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.struct("group", "first", "last", (F.col("bytes") > GROUP_BYTES).alias("large"), (F.col("n") == 1).alias("alone")).alias("part")
     )
 
@@ -370,6 +371,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     ready = cut.where("text is not null").repartition("group").sortWithinPartitions("group")
     strings = cut.where("text is null")
     twice = strings.groupBy("group", "string").agg(F.count("*").alias("n")).where("n > 1").select("group", "string")
+    twice = written(twice, "twice")
     one_by_one = strings.where("alone").join(twice, ["group", "string"], "left_semi").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("first") + length).alias("end"))
 
     whole = live.join(texts.where("n > 1").select("group", "key"), ["group", "key"], "left_semi").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("reach") + length).alias("end"))
