@@ -1,6 +1,6 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored by their text; a page votes for the generalised tag-class paths of its best containers,
+Each page's containers are scored by their text; a page votes for the generalised tag-class paths of all its containers by their share of the best score,
 votes are summed per host and path in Spark, and pages are extracted again with their host's winning path. Where a page
 has no container on the winning path, or one with much less text than its own best, its own best is taken.
 
@@ -13,7 +13,7 @@ sidebar or reader comments; a container that holds the page's article, main part
 outside links, stays whatever its name. Character references are decoded, white space in a block becomes one space.
 
 Defined results: a null or empty html gives an empty text. A null url belongs to the host ''. Repeated rows each get a row.
-An empty table gives no rows. Only page_id, url and html are read.
+Pages of any length and depth are read whole. An empty table gives no rows. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -30,12 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import mapped, written
 
-#: Paths that a page votes for.
-VOTES = 3
 #: A host's path is taken if it holds at least this share of the text of a page's own best container.
 LEAST_SHARE = 0.5
-#: Winning paths are broadcast if they are no more than so many; else pages are joined by host and salt.
-BROADCAST_HOSTS, SALTS = 20_000, 16
+#: Winning paths are broadcast if they are no more than so many; else both sides of the join are plain exchanges, and Spark splits large hosts.
+BROADCAST_HOSTS = 20_000
 
 # The HTML standard's element kinds, and words that name parts beside the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -305,7 +303,7 @@ def path_votes(pages: DataFrame) -> DataFrame:
         for batch in batches:
             votes: dict[tuple[str, str, int], float] = {}
             for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                best = scored(parse(html))[:VOTES] if html else []
+                best = scored(parse(html)) if html else []
                 top = best[0][0] if best else 0
                 for score, node in best:
                     key = (host, node.path, node.depth)
@@ -331,8 +329,7 @@ def extract(pages: DataFrame) -> DataFrame:
     if winners.count() <= BROADCAST_HOSTS:
         rows = rows.join(F.broadcast(winners), "host", "left")
     else:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-        rows = rows.join(winners.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "_salt"], "left")
+        rows = rows.join(winners, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
