@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +27,11 @@ _BATCH_ROWS, _BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default is set only where the session has none."""
+    """The folder that driver and executors share; a default is set only where the session has none and all run in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file:///tmp/checkpoints/stemma"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(root)
@@ -51,21 +52,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard() -> None:
     """Deletes the scratch tables of this process. Results that still read them must have been written before."""
-    for root in sorted(_scratch):
-        store, path = fs.FileSystem.from_uri(root)
-        if store.get_file_info(path).type == fs.FileType.Directory:
-            store.delete_dir(path)
+    spark = SparkSession.getActiveSession()
+    for root in sorted(_scratch) if spark else ():
+        _delete(spark, root)
     _scratch.clear()
 
 
+def superseded(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that written() returned and that nothing will read again."""
+    for frame in frames:
+        _delete(frame.sparkSession, frame._scratch)
+        _scratch.discard(frame._scratch)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path.rpartition("/")[0]
+    return out
 
 
 # -- rows with all their columns ----------------------------------------------------------------

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, band_hashes, bands_for, bundled, mapped, minhash, mix, shingle_hashes, slices, text_buffers, unbundled, word_hashes, written
+from .common import SHINGLE_WORDS, SIMILARITY, band_hashes, bands_for, bundled, mapped, minhash, mix, shingle_hashes, slices, superseded, text_buffers, unbundled, word_hashes, written
 
 ROWS, RECALL = 4, 0.9999
 BLOCK_NODES, BLOCK_GRAMS = 512, 1 << 20
@@ -105,9 +105,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.distinct(), "large")
         # Small star: a node and its smaller neighbours move to the least of them.
+        superseded(least, edges)
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        superseded(least, large)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (now["n"], now["h"]):
             break
