@@ -240,19 +240,21 @@ def _pattern_counts(documents: DataFrame, patterns: DataFrame) -> DataFrame:
     tokens = F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TOKEN), F.lit(0))
     chunk = lambda t: F.transform(F.sequence(F.lit(1), F.size(t), F.lit(TOKENS_CHUNK)), lambda at: F.slice(t, at, F.lit(TOKENS_CHUNK + REACH - 1)))
     chunks = documents.where(F.col("text").cast("string").rlike(rf"[^{_SPACE}]")).select(F.explode(_let(tokens, chunk)).alias("c"))
-
-    def grams(token: Column, at: Column) -> Column:
-        out = [token]
-        for n in range(1, REACH):
-            out.append(F.concat(out[-1], F.lit(" "), F.get(F.col("c"), at + n)))
-        return F.array(*out)
-
-    every = chunks.select(F.explode(F.flatten(F.transform(F.slice("c", 1, TOKENS_CHUNK), grams))).alias("pattern")).where("pattern is not null")
+    # Each token with those after it; null beyond the text's end.
+    places = F.arrays_zip(*(F.slice("c", n, TOKENS_CHUNK).alias(f"t{n}") for n in range(1, REACH + 1)))
+    every = chunks.select(F.explode(places).alias("z")).select("z.*").where("t1 is not null")
+    grams = lambda least: [F.when(F.col(f"t{n}").isNotNull(), F.concat_ws(" ", *(f"t{k}" for k in range(1, n + 1)))) for n in range(least, REACH + 1)]
     few = _few(patterns)
-    if few is not patterns:
-        every = every.join(few, "pattern", "left_semi")
-        return every.groupBy("pattern").agg(F.count("*").alias("total"))
-    return written(every.groupBy("pattern").agg(F.count("*").alias("total")), "every_pattern").join(patterns, "pattern", "left_semi")
+    if few is patterns:
+        every = every.select(F.explode(F.array(*grams(1))).alias("pattern")).where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("total"))
+        return written(every, "every_pattern").join(patterns, "pattern", "left_semi")
+    # Most tokens begin no pattern; no string is made for them.
+    is_long = F.contains("pattern", F.lit(" "))
+    first = patterns.groupBy(F.substring_index("pattern", " ", 1).alias("t1")).agg(F.max(~is_long).alias("alone"), F.max(is_long).alias("more"))
+    every = every.join(F.broadcast(first), "t1")
+    found = [F.when(F.col("alone"), F.col("t1")), *(F.when(F.col("more"), g) for g in grams(2))]
+    every = every.select(F.explode(F.array(*found)).alias("pattern")).where("pattern is not null").join(few, "pattern", "left_semi")
+    return every.groupBy("pattern").agg(F.count("*").alias("total"))
 
 
 def discovered(documents: DataFrame, measured: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
