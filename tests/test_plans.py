@@ -1,6 +1,7 @@
 """From printed lines to reconciled tables and reports, on a small invented checklist."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -51,11 +52,21 @@ def test_segmentation(segments):
 def test_statuses_and_names_in_cells():
     rows = [["STT", "Tên", "M1", "M2"], ["", "Họ Cyprinidae", "", ""], ["1", "Cyprinus carpio", "+", "-"], ["2", "Carassius auratus", "x", ""]]
     records = segmentation.read_cells(rows)
-    assert [(r.idx, r.sites, r.hierarchy) for r in records] == [(1, {"M1": "+", "M2": "-"}, {"family": "Cyprinidae"}), (2, {"M1": "+"}, {"family": "Cyprinidae"})]
-    reader = segmentation.TableReader({"(1)": "IUCN_2020", "(2)": "B", "(3)": "C"})
-    for i, line in enumerate(["          (1)     (2)     (3)", "1    Cyprinus carpio  VU     x", "2    Danio rerio  Cá ngựa     EN"]):
-        reader.read(i, line, [])
-    assert reader.records[1].vn_name == "Cá ngựa" and "EN" in reader.records[1].status.values()
+    assert [(r["idx"], r["sites"], r["hierarchy"]) for r in records] == [(1, {"M1": "+", "M2": "-"}, {"family": "Cyprinidae"}), (2, {"M1": "+"}, {"family": "Cyprinidae"})]
+    assert segmentation.read_cells([]) == [] and segmentation.read_cells([["STT", "M1"]]) == []
+    lines = ["Bảng 1", "          (1)     (2)     (3)", "1    Cyprinus carpio  VU     x", "2    Danio rerio  Cá ngựa     EN"]
+    records, totals = segmentation.read_table(lines, "Bảng 1", {"(1)": "IUCN_2020", "(2)": "B", "(3)": "C"})
+    assert records[1]["vn_name"] == "Cá ngựa" and "EN" in records[1]["status"].values() and totals is None
+    assert segmentation.read_table(lines, "Bảng 9") == ([], None) == segmentation.read_table([], "Bảng")
+
+
+def test_lines_have_kinds():
+    prose = "đây là một dòng văn bản rất dài để kết thúc bảng này"
+    lines = ["Bảng 1", " " * 40 + "M1  M2  M3", "BÁO CÁO KHOA HỌC", "     Họ Cá chép - Cyprinidae", "12", "1  Cyprinus carpio  +", "   wrapped", "     Barbodes binotatus", " 2 ", prose, "3  Danio rerio", prose, prose, "4  Not Read"]
+    t, totals = segmentation.line_table(lines, "Bảng 1", {})
+    assert t["kind"].tolist() == ["header", "noise", "heading", "noise", "row", "piece", "lead", "row", "prose", "row", "prose"] and totals is None
+    assert t["record"].tolist() == [0, 0, 0, 0, 1, 1, 2, 2, 2, 3, 3]
+    assert t["hierarchy"].iloc[-1] == {"family": "Cyprinidae"}
 
 
 def answers(spark):
@@ -149,6 +160,28 @@ def test_word_boxes(spark):
     assert lines == [" " * 10 + "A&b c" + " " * 35 + "+", " z"]
 
 
+def test_grid_equals_a_plain_version(spark):
+    rng = random.Random(4)
+    boxes = [("d", page, rng.randint(0, 300) / 2, 10.0 * rng.randint(1, 6) + rng.choice([0, 0, 1.5, 2.5, 3]), w) for page in (1, 2) for w in (f"w{k}" * rng.randint(1, 5) for k in range(60))]
+    rows = [(d, p, x, y, x + 3.0 * len(w), w) for d, p, x, y, w in boxes]
+    out = documents.on_grid(spark.createDataFrame(rows, "doc_id string, page int, x double, y double, x2 double, word string"))
+    want = []
+    for page in (1, 2):
+        tops, held = [], []
+        for y, x, x2, w in sorted((y, x, x2, w) for _, p, x, y, x2, w in rows if p == page):
+            if not tops or y - tops[-1] >= 2.5:
+                tops.append(y)
+                held.append([])
+            held[-1].append((x, x2, w))
+        for n, words in enumerate(held):
+            text, end = "", None
+            for x, x2, w in sorted(words):
+                text += f" {w}" if end is not None and x - end < 4.5 else " " * (max(round(x / 2.4), len(text) + 2 if text else 0) - len(text)) + w
+                end = x2
+            want.append(("d", page, n, text))
+    assert sorted(tuple(r) for r in out.collect()) == want
+
+
 def test_docx(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
