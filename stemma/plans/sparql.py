@@ -179,16 +179,30 @@ class Query:
                 columns += [F.col(column).alias(t[1]), *((F.col(k) if isinstance(k, str) else k).alias(c) for k, c in zip(kinds, _columns(t[1])[1:], strict=True))]
         return Solution(df.select(*columns) if columns else df.select(F.lit(True).alias("_any")).limit(1), names)
 
+    @staticmethod
+    def _equal(a: Solution, renamed: DataFrame, shared: list[str], unbound: set[str]) -> list[Column]:
+        """Conditions that the shared variables agree, language tags included; an unbound variable is compatible with any value."""
+        out = []
+        for x in shared:
+            same = a.df[x] == renamed[f"{x}__r"]
+            if f"{x}__l" in a.df.columns and f"{x}__l__r" in renamed.columns:
+                same = same & a.df[f"{x}__l"].eqNullSafe(renamed[f"{x}__l__r"])
+            out.append(same | a.df[x].isNull() | renamed[f"{x}__r"].isNull() if x in unbound else same)
+        return out
+
     def _join(self, a: Solution | None, b: Solution, how: str = "inner", condition=None) -> Solution:
         if a is None:
             return b
         shared = [x for x in a.vars if x in b.vars]
+        # Rows that leave a shared variable unbound are joined without it, so that both parts are joins on equal keys.
+        split = next((x for x in shared if x in a.maybe), None)
+        if split is not None:
+            return self._both(*(self._join(part, b, how, condition) for part in self._by_bound(a, split)))
+        split = next((x for x in shared if x in b.maybe), None) if how == "inner" else None
+        if split is not None:
+            return self._both(*(self._join(a, part, how, condition) for part in self._by_bound(b, split)))
         renamed = b.df.select(*(F.col(c).alias(f"{c}__r") for c in b.df.columns))
-        on = [a.df[x].eqNullSafe(renamed[f"{x}__r"]) if x in a.maybe and x in b.maybe else a.df[x] == renamed[f"{x}__r"] for x in shared]
-        # An unbound variable is compatible with any value.
-        on = [c | (a.df[x].isNull() if x in a.maybe else F.lit(False)) | (renamed[f"{x}__r"].isNull() if x in b.maybe else F.lit(False)) if x in a.maybe | b.maybe else c for c, x in zip(on, shared, strict=True)]
-        tags = [a.df[f"{x}__l"].eqNullSafe(renamed[f"{x}__l__r"]) for x in shared if f"{x}__l" in a.df.columns and f"{x}__l__r" in renamed.columns and x not in a.maybe | b.maybe]
-        both = on + tags
+        both = self._equal(a, renamed, shared, b.maybe)
         if condition is not None:
             joined_vars = Solution(a.df, a.vars + [x for x in b.vars if x not in a.vars])
             both.append(condition(lambda c: a.df[c] if c in a.df.columns else renamed[f"{c}__r"], joined_vars))
@@ -197,11 +211,38 @@ class Query:
             df = a.df.crossJoin(renamed) if how == "inner" else a.df.join(renamed, F.lit(True), how)
         else:
             df = a.df.join(renamed, reduce(lambda x, y: x & y, both), how)
-        keep = [F.coalesce(F.col(c), F.col(f"{c}__r")).alias(c) if c in b.df.columns and any(c in _columns(x) for x in shared if x in a.maybe) else F.col(c) for c in a.df.columns]
-        keep += [F.col(f"{c}__r").alias(c) for c in b.df.columns if c not in a.df.columns]
+        keep = [F.col(c) for c in a.df.columns] + [F.col(f"{c}__r").alias(c) for c in b.df.columns if c not in a.df.columns]
         new = [x for x in b.vars if x not in a.vars]
-        maybe = {x for x in a.maybe if x not in b.vars or x in b.maybe} | {x for x in new if x in b.maybe or how == "left"}
-        return Solution(df.select(*keep), a.vars + new, maybe)
+        return Solution(df.select(*keep), a.vars + new, a.maybe | {x for x in new if x in b.maybe or how == "left"})
+
+    @staticmethod
+    def _by_bound(a: Solution, x: str) -> tuple[Solution, Solution]:
+        """The rows that bind a variable, and the others without it."""
+        free = Solution(a.df.where(F.col(x).isNull()).drop(*_columns(x)), [v for v in a.vars if v != x], a.maybe - {x})
+        return Solution(a.df.where(F.col(x).isNotNull()), a.vars, a.maybe - {x}), free
+
+    @staticmethod
+    def _both(a: Solution, b: Solution) -> Solution:
+        return Solution(a.df.unionByName(b.df, allowMissingColumns=True), a.vars + [x for x in b.vars if x not in a.vars], a.maybe | b.maybe | (set(a.vars) ^ set(b.vars)))
+
+    def _basic(self, now: Solution | None, patterns: list[tuple], triples: DataFrame) -> Solution | None:
+        """Patterns joined to what is there: next comes one that shares a variable, that with the most constants first."""
+        if not patterns:
+            return now
+        named = lambda t: [x[1] for x in t if x[0] == "var"]
+        rest = sorted(patterns, key=lambda t: len(named(t)))
+        written = [*(now.vars if now else []), *(x for t in patterns for x in named(t))]
+        parts = [now] if now is not None else []
+        while rest:
+            meets = next((t for t in rest if parts and set(named(t)) & set(parts[-1].vars)), None)
+            found = self._match(triples, *(meets or rest[0]))
+            rest.remove(meets or rest[0])
+            if meets:
+                parts[-1] = self._join(parts[-1], found)
+            else:
+                parts.append(found)
+        out = reduce(self._join, parts)
+        return Solution(out.df, list(dict.fromkeys(written)), out.maybe)
 
     def _skip_group(self) -> None:
         depth = 0
@@ -216,9 +257,15 @@ class Query:
         self._need("{")
         now: Solution | None = None
         filters: list[int] = []
-        while not self._word("}"):
+        patterns: list[tuple] = []
+        while True:
             if self._word("."):
                 continue
+            # Whatever isn't a pattern or a filter ends a run of patterns.
+            if patterns and (self._peek()[1] in ("}", "{") or self._peek()[1].upper() in ("OPTIONAL", "BIND", "VALUES")):
+                now, patterns = self._basic(now, patterns, triples), []
+            if self._word("}"):
+                break
             if self._word("OPTIONAL"):
                 inner, own = self._group(triples)
                 now = self._optional(now, inner, own, triples)
@@ -244,8 +291,7 @@ class Query:
                     part = Solution(part.df.unionByName(other.df, allowMissingColumns=True), names, maybe)
                 now = self._join(now, part)
             else:
-                for s, p, o in self._triples():
-                    now = self._join(now, self._match(triples, s, p, o))
+                patterns += self._triples()
         if now is None:
             now = Solution(triples.sparkSession.range(1).select(F.lit(True).alias("_any")), [])
         return now, filters
@@ -292,9 +338,15 @@ class Query:
                     self._need("EXISTS")
                 inner = self._filtered(*self._group(triples), triples)
                 shared = [x for x in now.vars if x in inner.vars]
-                right = inner.df.select(*(F.col(x).alias(f"{x}__r") for x in shared)).distinct()
-                on = reduce(lambda x, y: x & y, [now.df[x] == right[f"{x}__r"] for x in shared])
-                now = Solution(now.df.join(right, on, "left_anti" if word == "NOT" else "left_semi"), now.vars, now.maybe)
+                if shared:
+                    tags = [f"{x}__l" for x in shared if f"{x}__l" in inner.df.columns]
+                    right = inner.df.select(*(F.col(c).alias(f"{c}__r") for c in (*shared, *tags))).distinct()
+                    on = reduce(lambda x, y: x & y, self._equal(now, right, shared, now.maybe | inner.maybe))
+                    df = now.df.join(right, on, "left_anti" if word == "NOT" else "left_semi")
+                else:
+                    # Without a shared variable the group holds for all rows or none.
+                    df = now.df if inner.df.isEmpty() == (word == "NOT") else now.df.where(F.lit(False))
+                now = Solution(df, now.vars, now.maybe)
             else:
                 now = Solution(now.df.where(self._expression(self._scope(now)).text), now.vars, now.maybe)
         self.at = end

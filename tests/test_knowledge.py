@@ -178,6 +178,43 @@ def test_more_of_the_language(triples):
     ]
 
 
+@pytest.fixture(scope="module")
+def small(spark):
+    iri = lambda s, p, o: (s, p, o, "iri", None, None)
+    word = lambda s, p, o, lang=None: (s, p, o, "literal", None, lang)
+    rows = [iri(f"{s}{i}", p, f"{o}{i}") for i in range(4) for s, p, o in (("a", "p", "b"), ("b", "r", "c"), ("c", "q", "d"))]
+    rows += [word("a0", "n", "x", "en"), word("a1", "n", "x", "vi"), word("a2", "m", "x", "en"), iri("a3", "t", "b1"), iri("a0", "t", "b0"), iri("a0", "z", "one")]
+    return spark.createDataFrame(rows, graph.TRIPLE)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patterns_join_by_shared_variables(small):
+    out = sparql.run_query("SELECT ?a ?d { ?a <p> ?b . ?c <q> ?d . ?b <r> ?c }", small)
+    assert text(out.orderBy("a")) == [(f"a{i}", f"d{i}") for i in range(4)]
+    assert "Cartesian" not in plan_of(out) and "NestedLoop" not in plan_of(out)
+
+
+def test_optional_variables_join_on_equal_keys(small):
+    out = sparql.run_query("SELECT ?a ?b ?c { ?a <p> ?x OPTIONAL { ?a <t> ?b } ?b <r> ?c }", small)
+    # a1 and a2 leave ?b unbound, so it takes any value.
+    want = [("a0", "b0", "c0"), ("a3", "b1", "c1"), *((a, f"b{i}", f"c{i}") for a in ("a1", "a2") for i in range(4))]
+    assert sorted(text(out)) == sorted(want)
+    joined = sparql.run_query("SELECT ?a ?b { ?a <p> ?x OPTIONAL { ?a <t> ?b } ?a <p> ?b }", small)
+    assert sorted(text(joined)) == [("a0", "b0"), ("a1", "b1"), ("a2", "b2")]
+    assert "Cartesian" not in plan_of(joined) and "NestedLoop" not in plan_of(joined)
+
+
+def test_not_exists(small):
+    assert len(text(sparql.run_query("SELECT ?a { ?a <p> ?b FILTER NOT EXISTS { <a0> <z> <two> } }", small))) == 4
+    assert text(sparql.run_query("SELECT ?a { ?a <p> ?b FILTER NOT EXISTS { ?q <z> <one> } }", small)) == []
+    assert len(text(sparql.run_query("SELECT ?a { ?a <p> ?b FILTER EXISTS { ?q <z> <one> } }", small))) == 4
+    # Texts of two languages are two values.
+    assert text(sparql.run_query("SELECT ?a { ?a <n> ?x FILTER NOT EXISTS { ?b <m> ?x } }", small)) == [("a1",)]
+
+
 def test_explorer(triples, spark):
     nodes, edges = explorer.nodes(triples), explorer.edges(triples)
     assert {r["type"] for r in nodes.select("type").distinct().collect()} == {"NameUsage", "Taxon", "SourceDocument", "Waterbody", "SamplingSite", "ConservationAssessment"}
