@@ -30,9 +30,16 @@ def as_set(*parts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def stored(triples: DataFrame, path: str) -> DataFrame:
-    """triples written by predicate, so that a pattern with a constant predicate reads its own files only."""
-    triples.repartition("p").write.mode("overwrite").partitionBy("p").parquet(path)
+#: Triples of one predicate that a task writes.
+FILE_ROWS = 5_000_000
+
+
+def stored(triples: DataFrame, path: str, rows: int = FILE_ROWS) -> DataFrame:
+    """triples written by predicate, so that a pattern with a constant predicate reads its own files only; a predicate is dealt to as many tasks as its number of triples asks for."""
+    # A vocabulary has few predicates; beyond that the join isn't broadcast.
+    parts = triples.groupBy("p").agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    dealt = triples.join(parts, "p").withColumn("_part", F.pmod(F.xxhash64("s", "o"), F.col("_parts")))
+    dealt.repartition("p", "_part").select("s", "p", "o", "o_kind", "o_datatype", "o_lang").write.mode("overwrite").partitionBy("p").parquet(path)
     return triples.sparkSession.read.schema(TRIPLE).parquet(path).select("s", "p", "o", "o_kind", "o_datatype", "o_lang")
 
 

@@ -36,7 +36,7 @@ def shared_species(v: Views) -> DataFrame:
 def threatened(v: Views) -> DataFrame:
     """CQ3: taxa that any scheme calls CR, EN or VU, by waterbody, and who says so."""
     rated = v.assessment.where(F.col("category").isin("CR", "EN", "VU")).select("a", "scheme", "version", "category", "source")
-    rows = v.usage_assessment.join(rated, "a").join(v.usage.select("u", "taxon", "waterbody").distinct(), "u").join(v.taxon_name, "taxon").join(v.waterbody, "waterbody")
+    rows = v.usage_assessment.join(rated, "a").join(v.usage.select("u", "taxon", "waterbody"), "u").join(v.taxon_name, "taxon").join(v.waterbody, "waterbody")
     said = F.concat("scheme", F.lit("-"), "version", F.lit(":"), "category")
     out = rows.groupBy("name", F.col("label").alias("waterbody")).agg(joined_set(said, ", ").alias("assessments"), joined_set(str_after(F.col("source"), "source/"), ",").alias("sources"))
     return out.orderBy("name", "waterbody")
@@ -46,7 +46,8 @@ def alien_spread(v: Views) -> DataFrame:
     """CQ4: where taxa flagged as alien by any document are recorded by all documents."""
     flags = v.trait.withColumn("flag", iri_fragment(F.col("trait"))).where(F.col("flag").isin(*ALIEN))
     flagged = flags.join(v.usage.select(F.col("u").alias("subject"), "taxon").distinct(), "subject").select("taxon", "flag").distinct()
-    rows = flagged.join(v.usage, "taxon").join(v.waterbody, "waterbody").join(v.taxon_name, "taxon")
+    recorded = v.usage.select("taxon", "waterbody", "source").distinct()
+    rows = flagged.join(recorded, "taxon").join(v.waterbody, "waterbody").join(v.taxon_name, "taxon")
     out = rows.groupBy("name", "flag").agg(
         joined_set("label", ", ").alias("waterbodies"), joined_set(str_after(F.col("source"), "source/"), ",").alias("recorded_in_sources"), F.count_distinct("source").alias("_n")
     )

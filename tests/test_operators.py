@@ -43,6 +43,25 @@ def test_close_pairs_equal_all_pairs(spark):
     assert got == want and got
 
 
+@pytest.mark.parametrize("lat, lon, metres", [(89.99, 0, 900.0), (-89.97, 175, 2000.0), (60, 179.98, 1500.0), (0, -0.01, 500.0)])
+def test_close_pairs_around_the_globe(spark, lat, lon, metres):
+    """At the poles, where a row has few cells, and where longitudes jump."""
+    rng = random.Random(4)
+    points = [(i, "g", max(-90.0, min(90.0, lat + rng.random() * 0.05 - 0.025)), (lon + rng.random() * (360 if abs(lat) > 89 else 0.05) + 180) % 360 - 180) for i in range(120)]
+    out = spatial.close_pairs(spark.createDataFrame(points, "k int, grp string, lat double, lon double"), "grp", "k", metres)
+    rows = [(r["a"], r["b"]) for r in out.collect()]
+    assert set(rows) == {(a[0], b[0]) for a in points for b in points if a[0] < b[0] and spatial._metres(a[2], a[3], b[2], b[3]) < metres} and rows
+    assert len(rows) == len(set(rows))
+
+
+def test_a_large_predicate_is_dealt_to_several_tasks(spark, tmp_path):
+    triples = spark.range(100).selectExpr("concat('s', id) AS s", "if(id < 90, 'type', 'p') AS p", "'c' AS o", "'iri' AS o_kind", "cast(null AS string) AS o_datatype", "cast(null AS string) AS o_lang")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    back = graph.stored(triples, str(tmp_path / "t"), rows=20)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "t" / "p=type").glob("*.parquet"))) > 1 and sorted(back.collect()) == sorted(triples.collect())
+
+
 def test_cells(spark):
     columns = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(n).alias("name")) for x, n in ((10.0, "M1"), (20.0, "M2"))))
     marks = lambda *m: F.array(*(F.struct(F.lit(x).alias("x"), F.lit(c).alias("mark")) for x, c in m))
