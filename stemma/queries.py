@@ -33,7 +33,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 _CATEGORY = "CASE o_orderpriority WHEN '1-URGENT' THEN 'CR' WHEN '2-HIGH' THEN 'EN' WHEN '3-MEDIUM' THEN 'VU' ELSE 'LC' END"
 _SCHEME = "CASE o_orderstatus WHEN 'F' THEN 'DLDVN' WHEN 'O' THEN 'SDVN' ELSE 'IUCN' END"
-_LABEL = "CASE CAST(event_id % 5 AS INT) WHEN 1 THEN 'Chl-a (ug/L)' WHEN 2 THEN 'Photphat (mgP-PO4/L)' WHEN 3 THEN 'Amoni (mgN-NH4/L)' ELSE 'Độ trong (cm)' END"
+_LABEL = "CASE event_type WHEN 'view' THEN 'Chl-a (ug/L)' WHEN 'error' THEN 'Photphat (mgP-PO4/L)' WHEN 'purchase' THEN 'Amoni (mgN-NH4/L)' ELSE 'Độ trong (cm)' END"
 _FLAG = "CASE WHEN l_quantity >= 49 THEN 'x#InvasiveAlienSpecies' WHEN l_quantity <= 1 THEN 'x#AlienSpecies' ELSE 'x#EconomicValue' END"
 _ISSUE = "CASE WHEN l_returnflag = 'R' THEN 'x#returned' WHEN l_discount > 0.08 THEN 'x#discounted' ELSE 'x#open' END"
 
@@ -60,8 +60,8 @@ def views(spark: SparkSession, d: str) -> knowledge.Views:
         usage_assessment=items.select("u", F.col("l_orderkey").alias("a")),
         trait=items.selectExpr("u AS subject", f"{_FLAG} AS trait"),
         issue=items.selectExpr("u", f"{_ISSUE} AS issue"),
-        abundance=events.where("event_id % 5 = 0").selectExpr("event_id AS o", "user_id AS taxon", "user_id AS site", "user_id AS code", "CAST(CAST(ts AS DATE) AS STRING) AS time", "value", "event_type AS `group`"),
-        water=events.where("event_id % 5 <> 0").selectExpr("user_id AS site", "CAST(CAST(ts AS DATE) AS STRING) AS time", f"{_LABEL} AS label", "value"),
+        abundance=events.selectExpr("event_id AS o", "user_id AS taxon", "user_id AS site", "user_id AS code", "CAST(CAST(ts AS DATE) AS STRING) AS time", "value", "event_type AS `group`"),
+        water=events.where("event_type <> 'click'").selectExpr("user_id AS site", "CAST(CAST(ts AS DATE) AS STRING) AS time", f"{_LABEL} AS label", "value"),
     )
 
 
@@ -75,8 +75,8 @@ reconciled AS (SELECT u, r_name AS waterbody, grp, name FROM usage JOIN named US
 assessment AS (SELECT o_orderkey AS a, {_SCHEME} AS scheme, CAST(year(o_orderdate) AS VARCHAR) AS version, {_CATEGORY} AS category, 'source/' || (o_custkey % 3) AS source FROM orders),
 trait AS (SELECT u AS subject, {_FLAG} AS trait FROM items),
 issue AS (SELECT u, {_ISSUE} AS issue FROM items),
-abundance AS (SELECT event_id AS o, user_id AS taxon, user_id AS site, CAST(CAST(ts AS DATE) AS VARCHAR) AS time, value, event_type AS grp FROM events WHERE event_id % 5 = 0),
-water AS (SELECT user_id AS site, CAST(CAST(ts AS DATE) AS VARCHAR) AS time, {_LABEL} AS label, value FROM events WHERE event_id % 5 <> 0)
+abundance AS (SELECT event_id AS o, user_id AS taxon, user_id AS site, CAST(CAST(ts AS DATE) AS VARCHAR) AS time, value, event_type AS grp FROM events),
+water AS (SELECT user_id AS site, CAST(CAST(ts AS DATE) AS VARCHAR) AS time, {_LABEL} AS label, value FROM events WHERE event_type <> 'click')
 """
 
 
@@ -423,13 +423,13 @@ def fn_glyph_repair(spark, d):
 @query()
 def fn_parse_names(spark, d):
     """Part names parsed as scientific names; tested on names with known parts."""
-    return table(spark, d, "part").select("p_partkey", names.parse(F.concat(F.upper(F.substring("p_name", 1, 1)), F.lower(F.substring(F.col("p_name"), F.lit(2), F.length("p_name"))))).alias("n")).select("p_partkey", "n.canonical", "n.genus", "n.is_higher_taxon")
+    return table(spark, d, "part").select("p_partkey", names.parse(F.concat(F.upper(F.substring("p_name", 1, 1)), F.lower(F.substring(F.col("p_name"), F.lit(2), F.length("p_name"))))).alias("n")).select("p_partkey", "n.*").withColumn("notes", F.array_join("notes", ";"))
 
 
 @query()
 def fn_binomials(spark, d):
     """Binomials in each document."""
-    return table(spark, d, "documents").select("doc_id", F.size(names.binomials(F.col("text"))).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(names.binomials(F.col("text")), "; ").alias("binomials"))
 
 
 @query()
@@ -501,13 +501,13 @@ def graph_sparql(spark, d):
 
 
 def _edges(spark, d):
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    li = table(spark, d, "lineitem")
     a, b = F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     return li.select(a.alias("src"), b.alias("dst"), F.lit("has").alias("rel"))
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_returnflag = 'R'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 h(id, hop) AS (SELECT 'p1', 0 UNION SELECT u.b, hop + 1 FROM h JOIN u ON u.a = h.id WHERE hop < 2) SELECT id, min(hop)::INT AS hop FROM h GROUP BY id"""
 )
 def graph_neighbourhood(spark, d):
@@ -516,7 +516,7 @@ def graph_neighbourhood(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_returnflag = 'R'), x AS (SELECT a AS id, 'out' AS direction, b AS other FROM e UNION ALL SELECT b, 'in', a FROM e),
+    """WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem), x AS (SELECT a AS id, 'out' AS direction, b AS other FROM e UNION ALL SELECT b, 'in', a FROM e),
 r AS (SELECT *, count(*) OVER (PARTITION BY id, direction) AS n, row_number() OVER (PARTITION BY id, direction ORDER BY other) AS k FROM x)
 SELECT id, 'has' AS rel, direction, max(n) AS n, string_agg(other, ',' ORDER BY other) AS links FROM r WHERE k <= 40 GROUP BY id, direction"""
 )
@@ -575,18 +575,24 @@ _B = knowledge.BASE
 
 @query(
     f"""SELECT '<{_B}resource/nation/' || n_nationkey || '> <{_B}ontology#in> <{_B}resource/region/' || n_regionkey || '> .' AS value FROM nation
-UNION ALL SELECT '<{_B}resource/region/' || r_regionkey || '> <{knowledge.RDFS}label> "' || r_name || '"@en .' FROM region"""
+UNION ALL SELECT '<{_B}resource/region/' || r_regionkey || '> <{knowledge.RDFS}label> "' || r_name || '"@en .' FROM region
+UNION ALL SELECT '<{_B}resource/supplier/' || s_suppkey || '> <{_B}ontology#in> <{_B}resource/nation/' || s_nationkey || '> .' FROM supplier
+UNION ALL SELECT '<{_B}resource/supplier/' || s_suppkey || '> <{_B}ontology#balance> "' || s_acctbal::VARCHAR || '"^^<{knowledge.XSD}decimal> .' FROM supplier
+UNION ALL SELECT '<{_B}resource/region/' || r_regionkey || '> <{graph.RDF_TYPE}> <{_B}ontology#Region> .' FROM region
+UNION ALL SELECT '<{_B}resource/nation/' || n_nationkey || '> <{graph.RDF_TYPE}> <{_B}ontology#Nation> .' FROM nation
+UNION ALL SELECT '<{_B}resource/supplier/' || s_suppkey || '> <{graph.RDF_TYPE}> <{_B}ontology#Supplier> .' FROM supplier"""
 )
 def graph_ntriples(spark, d):
-    lines = graph.ntriples(_triples(spark, d))
-    return lines.where(F.col("value").rlike(r"/nation/\d+> <[^>]*#in>|@en \.$"))
+    return graph.ntriples(_triples(spark, d))
 
 
 @query(
     """WITH e AS (SELECT p_type AS grp, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE 'y' END AS place, p_name AS canonical, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS accepted FROM part),
 s AS (SELECT DISTINCT grp, place, 'canonical' AS names, canonical AS name FROM e UNION SELECT DISTINCT grp, place, 'accepted', accepted FROM e),
-h AS (SELECT grp, names, name, bool_or(place = 'x') AS a, bool_or(place = 'y') AS b FROM s GROUP BY ALL)
-SELECT grp AS "group", 'x' AS a, 'y' AS b, names, count_if(a)::BIGINT AS n_a, count_if(b)::BIGINT AS n_b, count_if(a AND b)::BIGINT AS shared, round_even(2 * count_if(a AND b) / (count_if(a) + count_if(b)), 3) AS sorensen FROM h GROUP BY grp, names"""
+h AS (SELECT grp, names, name, bool_or(place = 'x') AS a, bool_or(place = 'y') AS b FROM s GROUP BY ALL),
+g AS (SELECT grp, string_agg(name, ';' ORDER BY name) AS gained FROM h k WHERE names = 'accepted' AND a AND b AND name NOT IN (SELECT name FROM h p WHERE p.grp = k.grp AND names = 'canonical' AND a AND b) GROUP BY grp)
+SELECT grp AS "group", 'x' AS a, 'y' AS b, names, count_if(a)::BIGINT AS n_a, count_if(b)::BIGINT AS n_b, count_if(a AND b)::BIGINT AS shared, round_even(2 * count_if(a AND b) / (count_if(a) + count_if(b)), 3) AS sorensen,
+  CASE WHEN names = 'accepted' THEN coalesce(any_value(gained), '') END AS gained_by_reconciliation FROM h LEFT JOIN g USING (grp) GROUP BY grp, names"""
 )
 def report_overlap(spark, d):
     part = table(spark, d, "part")
@@ -595,7 +601,7 @@ def report_overlap(spark, d):
         F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("gbif_accepted"), F.col("p_name").alias("gbif_name"), F.lit("exact").alias("gbif_match"),
     )
     pairs = part.select(F.col("p_type").alias("group")).distinct().select("group", F.lit("x").alias("a"), F.lit("y").alias("b"))
-    return reports.overlap(rows, pairs).drop("gained_by_reconciliation")
+    return reports.overlap(rows, pairs).withColumn("gained_by_reconciliation", F.array_join("gained_by_reconciliation", ";"))
 
 
 # -- events, in batch as the stream would see them ---------------------------------------------------------------------
