@@ -35,10 +35,21 @@ def folded(text: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def fold(text: pd.Series) -> pd.Series:
+def _fold(text: pd.Series) -> pd.Series:
     return text.map(folded, na_action="ignore")
 
 
+# Latin letters of the first blocks that lose their marks.
+_MARKED = {c: folded(c) for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if len(folded(c)) == 1 and folded(c) != c}
+
+
+def fold(text: Column) -> Column:
+    """Without combining marks; letters such as đ stay. Only texts with letters beyond the Latin blocks are seen by Python."""
+    plain = F.translate(text, "".join(_MARKED), "".join(_MARKED.values()))
+    other = F.when(plain.rlike(r"[^\x00-\u024F\u1E00-\u1EFF]"), text)
+    return F.coalesce(_fold(other), plain)
+
+
 @F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML character references decoded."""

@@ -133,10 +133,26 @@ def as_json(row: Column) -> Column:
     return F.to_json(row)
 
 
-def page(template: str, triples: DataFrame, queries: dict[str, tuple[str, DataFrame]], mark: str, v: Vocabulary | None = None) -> str:
-    """A single-file page: the template with its mark replaced by the graph's JSON. What a browser shows has to fit into a page, so it is gathered here."""
+#: Nodes and edges that fit into one page.
+PAGE_ROWS = 200_000
+
+
+def write_files(triples: DataFrame, path: str, v: Vocabulary | None = None) -> None:
+    """Nodes, edges and counts as JSON lines, from the executors, whatever the graph's size."""
+    for name, rows in (("nodes", nodes(triples, v)), ("edges", edges(triples, v)), ("stats", stats(triples, v))):
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def page(template: str, triples: DataFrame, queries: dict[str, tuple[str, DataFrame]], mark: str, v: Vocabulary | None = None, most: int = PAGE_ROWS) -> str:
+    """A single-file page: the template with its mark replaced by the graph's JSON. What a browser shows has to fit into a page, so it is gathered here.
+
+    A graph of more nodes and edges than `most` raises before anything is gathered; write_files() takes any.
+    """
     from ..sources.tables import as_strings
 
+    size = nodes(triples, v).count() + edges(triples, v).count()
+    if size > most:
+        raise ValueError(f"{size} nodes and edges don't fit into a page of {most}; write_files() writes them apart")
     shown = lambda df: [r[0] for r in df.select(embeddable_json(as_json(F.struct(*df.columns)))).collect()]
     counts = {r["name"]: r["n"] for r in stats(triples, v).collect()}
     links = edges(triples, v)

@@ -102,7 +102,10 @@ def turtle_triples(text: str) -> Iterator[tuple]:
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """Turtle files, each a task's work; N-Triples scale, as lines are read apart."""
+    """Turtle files, each a row and a task's work, as prefixes and subjects reach over lines: a file must fit into a worker's memory, many files scale.
+
+    Larger dumps should be N-Triples, which read_ntriples() reads line by line.
+    """
 
     def run(batches):
         for batch in batches:

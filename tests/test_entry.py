@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from stemma import queries
+from stemma import checklist_queries, queries  # noqa: F401  the first adds its queries to the second
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
