@@ -9,7 +9,7 @@ reports it only when it is whole; only reported packages are read, so a lost or
 
 Defined results: a null html is an empty payload. Of rows with one page_id each is a record of its own; among equal
 payloads the smallest (page_id, url) is the response, null page_ids come last, and of wholly equal rows one is. A null url
-has no WARC-Target-URI. An empty table makes no package. Only page_id, url and html are read.
+has no WARC-Target-URI. Payloads of any length are one record; sizes beyond four bytes take ZIP64 fields. An empty table makes no package. Only page_id, url and html are read.
 """
 
 from __future__ import annotations

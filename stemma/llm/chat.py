@@ -5,7 +5,7 @@ Control strings inside texts and roles are escaped reversibly, so the formatted
 back to exactly the turns that went in. Built-in SQL functions only.
 
 Defined results: a null text or role counts as empty. Turns sort by (turn, role, text), nulls first, so
-ties and repeated rows have one order and all are kept. A null conv_id is a conversation of its own. An
+ties and repeated rows have one order and all are kept. Texts of any length are kept whole; a conversation is one row. A null conv_id is a conversation of its own. An
 empty table gives no rows. Columns other than conv_id, turn, role and text are not read. Conversations
 whose turns break the machine's order are formatted all the same and get valid = false.
 """

@@ -9,8 +9,8 @@ of the template's shingles are in the text. Built-in SQL functions only.
 Only windows with an anchor word are hashed. Anchors are words of the templates, chosen so that over 1 - CONTAINMENT of each
 template's shingles hold one: a text or passage without any can't hold a template.
 
-Defined results: null and empty texts hold no license. Repeated rows each get rows. An empty table gives no rows. Only
-doc_id and text are read.
+Defined results: null and empty texts hold no license. Texts of any length are scanned whole, window by window. Repeated rows each get rows. A text may hold several
+templates, also where one is part of another. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -29,25 +29,63 @@ CONTAINMENT, RECALL, WIDTH = 0.8, 0.9999, 5
 CLASSES = (3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512)
 
 # The wording of public license statements.
+_MIT_PERMISSION = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software"
+)
+_NO_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_FREE_PROGRAM = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by "
+    "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
+    "agpl-3.0-header": _FREE_PROGRAM.format("GNU Affero General Public License", 3),
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-warranty": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-licensed": "Licensed under the BSD License.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-text": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nd-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-tag-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-sa-tag-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc0-1.0": "This work is marked with CC0 1.0 Universal.",
+    "gpl-2.0-header": _FREE_PROGRAM.format("GNU General Public License", 2),
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-3.0-header": _FREE_PROGRAM.format("GNU General Public License", 3),
+    "gpl-licensed": "Licensed under the GNU General Public License",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
     "copyright notice and this permission notice appear in all copies.",
+    "lgpl-3.0-header": _FREE_PROGRAM.format("GNU Lesser General Public License", 3),
     "mit": "Released under the MIT License.",
-    "mit-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-    "and/or sell copies of the Software",
+    "mit-distributed": "Distributed under the MIT License.",
+    "mit-full": f"{_MIT_PERMISSION}, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission "
+    f"notice shall be included in all copies or substantial portions of the Software. {_NO_WARRANTY}",
+    "mit-licensed": "Licensed under the MIT License.",
+    "mit-permission": _MIT_PERMISSION,
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "no-warranty": _NO_WARRANTY,
+    "spdx-agpl-3.0": "SPDX-License-Identifier: AGPL-3.0",
+    "spdx-apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-bsd-2-clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-bsd-3-clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-cc0-1.0": "SPDX-License-Identifier: CC0-1.0",
+    "spdx-gpl-2.0": "SPDX-License-Identifier: GPL-2.0",
+    "spdx-gpl-3.0": "SPDX-License-Identifier: GPL-3.0",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-lgpl-3.0": "SPDX-License-Identifier: LGPL-3.0",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-mpl-2.0": "SPDX-License-Identifier: MPL-2.0",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 

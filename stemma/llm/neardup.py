@@ -13,7 +13,7 @@
 4. Connected components of the forests are the classes.
 
 Defined results: a null, empty or all-space text has no n-gram, no link and a class of its own. A text of fewer than
-five words has one n-gram, of all its words. Copies (equal n-gram sets) link to each other; repeated rows count as copies. The
+five words has one n-gram, of all its words. All n-grams of a text of any length count; a longer text is a slice, and a group of long texts a cut, of its own. Copies (equal n-gram sets) link to each other; repeated rows count as copies. The
 class id is the least doc_id of the class, null if all are null. An empty table gives no rows. Only doc_id and text are read.
 """
 

@@ -6,7 +6,7 @@ SAMPLE_CHARS characters, chosen by a hash of doc_id). A document's verdict says
 steps: a field without transitions learns from lines that carry their document's verdict, then each line is
 labelled anew by that field's odds, moved by PRIOR towards the verdict; the full field learns from those labels.
 
-Defined results: a null text has no words, so base_failed is true and kept false; so has an empty one. Repeated rows
+Defined results: a null text has no words, so base_failed is true and kept false; so has an empty one. Texts of any length are measured and decoded whole. Repeated rows
 each get a row. An empty table gives no rows. Only where a class has no labelled document with a word and at most SAMPLE_CHARS characters
 is no field trained, and the base rules alone decide. Only doc_id and text are read, of labels doc_id and quality.
 """
