@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +122,19 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(task, schema)
 
 
+def filtered(documents: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows whose text keep() marks, with all their columns, whatever their names; keep() takes the texts of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column(0)
+                yield pa.RecordBatch.from_arrays([rows.filter(pa.array(keep(pc.cast(pc.struct_field(rows, "text"), pa.large_string()))))], names=["_doc"])
+
+    rows = bundled(documents)
+    return unbundled(mapped(rows, run, rows.schema), documents)
+
+
 # -- words and shingles as hashes -------------------------------------------------------------
 
 #: Longest span that is hashed by lanes, and an odd number that lanes are multiplied by.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, bands_for, bundled, mapped, minhash, shingle_hashes, slices, text_buffers, unbundled, word_hashes, written
+from .common import SHINGLE_WORDS, SIMILARITY, bands_for, bundled, filtered, mapped, minhash, shingle_hashes, slices, text_buffers, unbundled, word_hashes, written
 
 RECALL = 0.9999
 BLOCK_ITEMS, BLOCK_CHARS = 50_000, 16 << 20
@@ -198,14 +198,12 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, similarity: fl
     if blocks == 1:
         shared = documents.sparkSession.sparkContext.broadcast(next(indexes))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for row, _, _ in shared.value.search(batch.column("text")):
-                    keep[row] = False
-                yield batch.filter(pa.array(keep))
+        def clean(texts: pa.Array) -> np.ndarray:
+            keep = np.ones(len(texts), bool)
+            keep[[row for row, _, _ in shared.value.search(texts)]] = False
+            return keep
 
-        return mapped(documents, run, documents.schema)
+        return filtered(documents, clean)
 
     def found(index: Index, batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
         rows = pa.array(sorted({row for row, _, _ in hits}))

@@ -18,11 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mix, slices, span_hashes, text_buffers, word_bounds, written
+from .common import filtered, mapped, mix, slices, span_hashes, text_buffers, word_bounds, written
 
 SAMPLE, SAMPLE_CHARS = 400, 50_000
 EPOCHS, RATE, DECAY, PRIOR = 150, 0.1, 1e-3, 1.0
@@ -289,13 +288,7 @@ def quality(documents: DataFrame, field: Field | None) -> DataFrame:
 
 def keep_good(documents: DataFrame, field: Field | None) -> DataFrame:
     """The documents that are kept, with all their columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(judge(pc.cast(batch.column("text"), pa.large_string()), field)["kept"]))
-
-    return mapped(documents, run, documents.schema)
+    return filtered(documents, lambda texts: judge(texts, field)["kept"])
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
