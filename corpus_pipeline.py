@@ -2,6 +2,13 @@
 
 Each stage works on all that its predecessor kept, written as Parquet in the shared folder and read again. All stages but
 the last return the columns of documents.
+
+Defined results, of every stage: an empty table gives an empty one. Columns beyond doc_id and text pass as they are, whatever their names, nulls included;
+n_chars, if there, follows a text that is changed. Texts of any length are read whole. Nulls and empty texts: quality rules reject them, as they
+reject all under 50 words; the other stages keep them, as they hold no n-gram, item or personal data, and packing makes one piece of them. Repeated rows: quality
+rules judge each alike, the Jaccard join keeps one row of wholly equal ones (all, if they have no words), decontamination and personal data treat
+each alike, packing packs each on its own. Ties: of a class of near duplicates the least doc_id stays, of one doc_id the text of the least hash; a null
+doc_id comes last.
 """
 
 from __future__ import annotations
