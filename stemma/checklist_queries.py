@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import names
 from .functions import text as tx
 from .operators import graph, ordered, relational
-from .plans import checklist, explorer, knowledge, reports, segmentation
+from .plans import checklist, explorer, knowledge, reports, segmentation, sparql
 from .queries import _B, _edges, _triples, query, table
 from .sources import documents, tables, triples
 
@@ -528,3 +528,100 @@ def ordered_encounter(spark, d):
     """The last urgent order so far, in the order of encounter."""
     rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")).alias("_u"))
     return ordered.running_last(rows, ["o_custkey"], "o_orderkey", "_u", "carried").drop("_u")
+
+
+# -- the explorer's graph, and SPARQL ----------------------------------------------------------------------------------------
+
+
+def _checklist_graph(spark, d) -> DataFrame:
+    """Parts as name usages of forty taxa, recorded by their brands in three waterbodies; the last taxon isn't described."""
+    v = knowledge.Vocabulary()
+    t, part = v.term, table(spark, d, "part").withColumn("k", F.col("p_partkey") % 40)
+    u, taxon, source, water = v.resource("usage", F.col("p_partkey")), v.resource("taxon", F.col("k")), v.resource("source", F.col("p_brand")), v.resource("waterbody", F.col("p_size") % 3)
+    some = part.where("k < 39")
+    is_a = lambda rows, s, c: graph.iri(rows, s, graph.RDF_TYPE, F.lit(c))
+    site = v.resource("site", F.col("p_size") % 5)
+    seen = v.resource("siteocc", F.col("p_partkey"))
+    return graph.as_set(
+        is_a(part, u, t("NameUsage")),
+        graph.literal(part, u, knowledge.DWC + "scientificName", F.col("p_name")),
+        graph.iri(part, u, t("resolvesTo"), taxon),
+        graph.iri(part, u, knowledge.PROV + "wasDerivedFrom", source),
+        graph.iri(part, u, t("recordedIn"), water),
+        graph.iri(part.where("p_size > 40"), u, t("hasIssue"), F.lit(t("misspelling"))),
+        graph.iri(part.where("p_size > 45"), u, t("hasIssue"), F.lit(t("unresolved"))),
+        is_a(some, taxon, knowledge.DWC + "Taxon"),
+        graph.literal(some.where("k > 4"), taxon, knowledge.DWC + "scientificName", F.col("p_type")),
+        is_a(part, source, t("SourceDocument")),
+        is_a(part, water, t("Waterbody")),
+        graph.literal(part, water, knowledge.RDFS + "label", F.concat(F.lit("water "), (F.col("p_size") % 3).cast("string")), lang="vi"),
+        is_a(part, site, t("SamplingSite")),
+        graph.iri(part, site, t("inWaterbody"), v.resource("waterbody", F.lit(0))),
+        is_a(part, seen, t("SiteOccurrence")),
+        graph.iri(part, seen, t("ofUsage"), u),
+        graph.iri(part, seen, t("atSite"), site),
+        graph.literal(part, seen, knowledge.DWC + "occurrenceStatus", F.when(F.col("p_size") % 2 == 0, "present").otherwise("absent")),
+    )
+
+
+_R = f"{_B}resource/"
+
+
+@query(
+    f"""SELECT '{_R}usage/' || p_partkey AS id, 'NameUsage' AS type, p_name AS label, p_brand AS source, '{_R}waterbody/' || (p_size % 3) AS waterbody, CASE WHEN p_size > 45 THEN 'misspelling,unresolved' WHEN p_size > 40 THEN 'misspelling' ELSE '' END AS issues,
+  (p_size % 5) || CASE WHEN p_size % 2 = 0 THEN ' present' ELSE ' absent' END AS sites FROM part
+UNION ALL SELECT '{_R}taxon/' || k, 'Taxon', CASE WHEN k > 4 THEN min(p_type) ELSE k::VARCHAR END, NULL, NULL, NULL, NULL FROM (SELECT *, p_partkey % 40 AS k FROM part) WHERE k < 39 GROUP BY k
+UNION ALL SELECT DISTINCT '{_R}source/' || p_brand, 'SourceDocument', p_brand, NULL, NULL, NULL, NULL FROM part
+UNION ALL SELECT DISTINCT '{_R}waterbody/' || (p_size % 3), 'Waterbody', 'water ' || (p_size % 3), NULL, NULL, NULL, NULL FROM part
+UNION ALL SELECT DISTINCT '{_R}site/' || (p_size % 5), 'SamplingSite', (p_size % 5) || ' ()', NULL, NULL, NULL, NULL FROM part"""
+)
+def explorer_nodes(spark, d):
+    """G5."""
+    nodes = explorer.nodes(_checklist_graph(spark, d))
+    sites = F.array_join(F.transform("sites", lambda x: F.concat_ws(" ", x["site"], x["status"])), ",")
+    return nodes.select("id", "type", "label", "source", "waterbody", F.array_join("issues", ",").alias("issues"), sites.alias("sites"))
+
+
+@query(
+    f"""WITH u AS (SELECT *, '{_R}usage/' || p_partkey AS id FROM part)
+SELECT id AS src, '{_R}taxon/' || (p_partkey % 40) AS dst, 'resolvesTo' AS rel FROM u WHERE p_partkey % 40 < 39 UNION ALL SELECT id, '{_R}source/' || p_brand, 'wasDerivedFrom' FROM u UNION ALL SELECT id, '{_R}waterbody/' || (p_size % 3), 'recordedIn' FROM u
+UNION ALL SELECT id, '{_R}site/' || (p_size % 5), 'presentAt' FROM u WHERE p_size % 2 = 0 UNION ALL SELECT DISTINCT '{_R}site/' || (p_size % 5), '{_R}waterbody/0', 'inWaterbody' FROM u"""
+)
+def explorer_edges(spark, d):
+    """Edges whose ends are both shown."""
+    return explorer.edges(_checklist_graph(spark, d))
+
+
+@query(
+    """SELECT name, n::BIGINT AS n FROM (SELECT 'NameUsage' AS name, count(*) AS n FROM part UNION ALL SELECT 'SiteOccurrence', count(*) FROM part UNION ALL SELECT 'Taxon', count(DISTINCT p_partkey % 40) FROM part WHERE p_partkey % 40 < 39 UNION ALL SELECT 'SourceDocument', count(DISTINCT p_brand) FROM part
+UNION ALL SELECT 'Waterbody', count(DISTINCT p_size % 3) FROM part UNION ALL SELECT 'SamplingSite', count(DISTINCT p_size % 5) FROM part
+UNION ALL SELECT 'triples', (SELECT 9 * count(*) + count_if(p_size > 40) + count_if(p_size > 45) FROM part) + (SELECT 2 * count(DISTINCT p_size % 5) + 2 * count(DISTINCT p_size % 3) + count(DISTINCT p_brand) FROM part)
+  + (SELECT count(DISTINCT p_partkey % 40) FROM part WHERE p_partkey % 40 < 39) + (SELECT count(*) FROM (SELECT DISTINCT p_partkey % 40, p_type FROM part WHERE p_partkey % 40 BETWEEN 5 AND 38)))"""
+)
+def explorer_stats(spark, d):
+    return explorer.stats(_checklist_graph(spark, d))
+
+
+_PREFIXES = f"PREFIX k: <{_B}ontology#> PREFIX rdfs: <{knowledge.RDFS}> "
+
+
+@query("SELECT 'NATION_' || n_nationkey AS nation, CASE WHEN s.n > 0 THEN s.n::VARCHAR ELSE '0' END AS suppliers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY ALL) s ON s_nationkey = n_nationkey WHERE r_name = 'ASIA'")
+def sparql_tags_and_optional(spark, d):
+    """PF14, J2, A2: a label with its language, an optional group with a filter, counted."""
+    text = _PREFIXES + """SELECT ?n (COUNT(?s) AS ?suppliers) { ?n k:in ?r . ?r rdfs:label "ASIA"@en OPTIONAL { ?s k:in ?n ; k:balance ?b FILTER(?b > 5000) } } GROUP BY ?n"""
+    out = sparql.run_query(text, _triples(spark, d))
+    return out.select(F.concat(F.lit("NATION_"), tx.iri_tail(F.col("n"))).alias("nation"), F.col("suppliers").cast("string").alias("suppliers"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS nation FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def sparql_not_exists(spark, d):
+    """Groups that aren't there, one with a shared variable and one without."""
+    text = _PREFIXES + """SELECT ?n { ?n a k:Nation FILTER NOT EXISTS { ?s k:in ?n ; k:balance ?b FILTER(?b < 0) } FILTER NOT EXISTS { ?x rdfs:label "NOWHERE"@en } }"""
+    return sparql.run_query(text, _triples(spark, d)).select(tx.iri_tail(F.col("n")).alias("nation"))
+
+
+@query("SELECT r_name AS region, s_suppkey::VARCHAR AS supplier FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal >= 4000")
+def sparql_join_order(spark, d):
+    """Patterns in an order in which neighbours share no variable."""
+    text = _PREFIXES + """SELECT ?region ?s { ?s k:balance ?b . ?r rdfs:label ?region . ?n k:in ?r . ?s k:in ?n . ?n a k:Nation FILTER(?b >= 4000) }"""
+    return sparql.run_query(text, _triples(spark, d)).select("region", tx.iri_tail(F.col("s")).alias("supplier"))
