@@ -34,7 +34,7 @@ from .common import mapped, slices, text_buffers, written
 MAX_TOKENS = 4096
 END_TOKEN = 1
 #: Pieces of one length that a task ranks, at least, and the most tasks beyond one a length.
-RANK_ROWS, RANK_TASKS = 1 << 14, 1 << 17
+RANK_ROWS, RANK_TASKS = 1 << 10, 1 << 17
 #: Entries of a worker's table of known ids, and the longest key; longer ones are encoded each time.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 
