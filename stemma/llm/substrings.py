@@ -11,8 +11,9 @@ Every byte covered by a LENGTH-byte string that also begins anywhere else, in th
    neighbouring suffixes derived from the Burrows-Wheeler transform by breadth-first backward extension: intervals of
    strings of depth 1, 2, ... mark the ends where a prefix of that depth ends, each end once. What isn't marked before
    depth LENGTH is a common prefix of at least LENGTH bytes: a repeated string.
-4. A group of more than GROUP_BYTES distinct texts doesn't meet in one task: its strings are hashed one by one and
-   counted map-side, which gives the same answer.
+4. A group of more than GROUP_BYTES distinct texts, as of many near copies, doesn't meet in one task: its texts are cut again, by the least of other hashes, into
+   runs of smaller groups, and those are counted and compared as in 2 and 3. The strings of groups that are still as large are hashed one by one and counted
+   map-side. Both give the same answer.
 
 Strings are told apart by 64-bit BLAKE2b digests within groups and by byte comparison in step 3; the rolling hash only makes groups.
 
@@ -89,6 +90,14 @@ def leftmost_least(values: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(left, back, ahead), np.where(left, back_at, ahead_at)
 
 
+def _split(data: np.ndarray, length: int, gram: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group (the least hash), first and last string of each run of strings whose least hash stands at one place."""
+    hashes = _rolled(data, gram)
+    group, at = leftmost_least(mix(hashes ^ np.uint64(seed)) if seed else hashes, length - gram + 1)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return group[first], first, np.append(first[1:], len(at)) - 1
+
+
 def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
     """Arrays (group, text key, first string, last string, last string of its repeats, repeats) of a document's runs.
 
@@ -96,10 +105,8 @@ def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[t
     """
     for begin in range(0, max(0, len(data) - length + 1), CHUNK):
         part = data[begin : begin + CHUNK + length - 1]
-        group, at = leftmost_least(_rolled(part, gram), length - gram + 1)
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        last = np.append(first[1:], len(at)) - 1
-        key, group = _digests(part.tobytes(), first, last + length), group[first]
+        group, first, last = _split(part, length, gram)
+        key = _digests(part.tobytes(), first, last + length)
         head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
         times = np.diff(np.append(head, len(first)))
         yield group[head].view(np.int64), key[head].view(np.int64), first[head] + begin, last[head] + begin, last[head + times - 1] + begin, times
@@ -261,11 +268,18 @@ def _unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def _cut_texts(jobs: DataFrame, length: int) -> DataFrame:
-    """From (doc_id, text_key, packed, parts): the text of each part; of parts of large groups, a row with the hash of each string."""
+_AGAIN = 0x2545F4914F6CDD1D
+_CUT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("group", pa.int64()), ("first", pa.int64()), ("alone", pa.bool_()), ("last", pa.int64()), ("key", pa.int64()), ("text", pa.binary())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _cut_texts(jobs: DataFrame, length: int, gram: int) -> DataFrame:
+    """From (doc_id, text_key, packed, parts): the text of each part; of parts of large groups those of their runs, with their last strings and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("group", pa.int64()), ("first", pa.int64()), ("alone", pa.bool_()), ("string", pa.int64()), ("text", pa.binary())])
         for batch in batches:
             rows: list[tuple] = []
             size = 0
@@ -275,19 +289,53 @@ def _cut_texts(jobs: DataFrame, length: int) -> DataFrame:
                     own = text[p["first"] : p["last"] + length]
                     size += len(own)
                     if p["large"]:
-                        at = np.arange(len(own) - length + 1)
-                        strings = _digests(own, at, at + length).view(np.int64)
-                        rows += [(doc_id, key, p["group"], p["first"] + i, p["alone"], s, None) for i, s in enumerate(strings.tolist())]
-                        size += 30 * len(at)
+                        group, first, last = _split(np.frombuffer(own, np.uint8), length, gram, _AGAIN)
+                        group = mix(group ^ mix(np.asarray([p["group"]]).view(np.uint64))).view(np.int64)
+                        for g, a, b, k in zip(group.tolist(), first.tolist(), last.tolist(), _digests(own, first, last + length).view(np.int64).tolist(), strict=True):
+                            rows.append((doc_id, key, g, p["first"] + a, p["alone"], p["first"] + b, k, own[a : b + length]))
+                            size += b + length - a
                     else:
-                        rows.append((doc_id, key, p["group"], p["first"], p["alone"], None, own))
+                        rows.append((doc_id, key, p["group"], p["first"], p["alone"], None, None, own))
                 if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield _batch(rows, _CUT)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield _batch(rows, _CUT)
+
+    return mapped(jobs, run, f"{_PLACE}, `group` long, first long, alone boolean, last long, key long, text binary")
+
+
+def _strings(texts: DataFrame, length: int) -> DataFrame:
+    """The digest of each string of the texts, a row each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("group", pa.int64()), ("start", pa.int64()), ("alone", pa.bool_()), ("string", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, key, group, first, alone, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.arange(len(text) - length + 1)
+                rows += [(doc_id, key, group, first + i, alone, s) for i, s in enumerate(_digests(text, at, at + length).view(np.int64).tolist())]
+                if len(rows) > 50_000:
+                    yield _batch(rows, schema)
+                    rows = []
+            if rows:
+                yield _batch(rows, schema)
+
+    return mapped(texts.select("doc_id", "text_key", "group", "first", "alone", "text"), run, f"{_PLACE}, `group` long, start long, alone boolean, string long")
+
 
-    return mapped(jobs, run, f"{_PLACE}, `group` long, first long, alone boolean, string long, text binary")
+def _of_large_groups(runs_: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans that repeat, and texts still to be compared, of the runs that large groups were cut into."""
+    counted = runs_.groupBy("group", "key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "first", "alone", "text")).alias("r"))
+    counted = written(counted.select("group", "key", "n", "r.doc_id", "r.text_key", "r.first", (F.col("r.alone") & (F.col("n") == 1)).alias("alone"), "r.text"), "counted")
+    whole = runs_.where("alone").join(counted.where("n > 1").select("group", "key"), ["group", "key"], "left_semi").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    groups = counted.groupBy("group").agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("bytes")).where("texts > 1")
+    groups = written(groups.select("group", (F.col("bytes") > GROUP_BYTES).alias("large")), "cut_groups")
+    texts = counted.join(groups, "group")
+    strings = written(_strings(texts.where("large"), length), "strings")
+    twice = written(strings.groupBy("group", "string").agg(F.count("*").alias("n")).where("n > 1").select("group", "string"), "twice")
+    one_by_one = strings.where("alone").join(twice, ["group", "string"], "left_semi").select("doc_id", "text_key", "start", (F.col("start") + length).alias("end"))
+    return whole.unionByName(one_by_one), texts.where("not large").select("doc_id", "text_key", "group", "first", "alone", "text")
 
 
 def _compared(texts: DataFrame, length: int) -> DataFrame:
@@ -358,8 +406,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     texts = live.groupBy("group", "key").agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "text_key", "first", "last")).alias("r"))
     texts = written(texts.select("group", "key", "n", "r.*"), "texts")
     groups = texts.groupBy("group").agg(F.count("*").alias("texts"), F.sum(F.col("last") - F.col("first") + length).alias("bytes")).where("texts > 1")
-    parts = texts.join(written(groups, "groups"), "group").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.struct("group", "first", "last", (F.col("bytes") > GROUP_BYTES).alias("large"), (F.col("n") == 1).alias("alone")).alias("part")
+    groups = written(groups.withColumn("large", F.col("bytes") > GROUP_BYTES), "groups")
+    parts = texts.join(groups, "group").select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.struct("group", "first", "last", "large", (F.col("n") == 1).alias("alone")).alias("part")
     )
 
     # The texts of documents with shared groups, and what to cut from them.
@@ -367,15 +416,14 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     packed = _packed(rows)
     some = written(packed.join(wanted, _same(packed, wanted), "left_semi"), "packed")
     parts = parts.groupBy("_id", "_key").agg(F.collect_list("part").alias("parts"))
-    cut = written(_cut_texts(some.join(parts, _same(some, parts)).select("doc_id", "text_key", "packed", "parts"), length), "cut")
-    ready = cut.where("text is not null").repartition("group").sortWithinPartitions("group")
-    strings = cut.where("text is null")
-    twice = strings.groupBy("group", "string").agg(F.count("*").alias("n")).where("n > 1").select("group", "string")
-    twice = written(twice, "twice")
-    one_by_one = strings.where("alone").join(twice, ["group", "string"], "left_semi").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("first") + length).alias("end"))
-
-    whole = live.join(texts.where("n > 1").select("group", "key"), ["group", "key"], "left_semi").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("reach") + length).alias("end"))
-    spans = whole.unionByName(_compared(ready, length)).unionByName(one_by_one)
+    cut = written(_cut_texts(some.join(parts, _same(some, parts)).select("doc_id", "text_key", "packed", "parts"), length, gram), "cut")
+    ready = cut.where("last is null").select("doc_id", "text_key", "group", "first", "alone", "text")
+    spans = live.join(texts.where("n > 1").select("group", "key"), ["group", "key"], "left_semi").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("reach") + length).alias("end"))
+    if not groups.where("large").isEmpty():
+        repeated, more = _of_large_groups(cut.where("last is not null"), length)
+        spans, ready = spans.unionByName(repeated), ready.unionByName(more)
+    ready = ready.repartition("group").sortWithinPartitions("group")
+    spans = spans.unionByName(_compared(ready, length))
     spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = written(spans, "spans")
     changed = _removed(some.join(spans, _same(some, spans)), keep_text)

@@ -384,6 +384,12 @@ def test_removal(spark, monkeypatch):
     monkeypatch.setattr(substrings, "GROUP_BYTES", 2000)
     monkeypatch.setattr(substrings, "CHUNK", 301)
     check(rows, 400, 128)
+    # Many near copies, whose groups are cut again, and groups of which even the cuts are large.
+    text = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    near = [(k, "".join(rng.choice("xyz") if rng.random() < 0.004 else c for c in text)) for k in range(50)]
+    check(near, 400, 128)
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 500)
+    check(near, 400, 128)
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
