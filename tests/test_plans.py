@@ -4,9 +4,11 @@ import io
 import random
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from stemma import checklist_queries, queries
 from stemma.plans import checklist, reports, segmentation
 from stemma.sources import documents, tables, triples
 
@@ -69,6 +71,25 @@ def test_lines_have_kinds():
     assert t["hierarchy"].iloc[-1] == {"family": "Cyprinidae"}
 
 
+def test_indices_of_over_three_digits():
+    rows = [f"{i:<8}Danio rerio  Cá {i}" for i in range(1, 1003)]
+    lines = ["Bảng 1", *rows, "     1822 Bloch", " 17 ", "     Barbodes binotatus", "1003", "1003", "1004    Cyprinus carpio", "     1790 Bloch", "     Tổng số", "1005  Not Read"]
+    records, _ = segmentation.read_table(lines, "Bảng 1")
+    assert [r["idx"] for r in records] == list(range(1, 1005)) and records[998]["name_parts"] == ["Danio rerio"]
+    assert [r["name_parts"] for r in records[1001:]] == [["Danio rerio", "1822 Bloch"], ["Barbodes binotatus"], ["Cyprinus carpio", "1790 Bloch"]]
+
+
+def test_segmented_query_beyond_three_digits(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS p_partkey, 'old bolt' AS p_name, 'B' AS p_brand, 'LARGE' AS p_type, (i % 50)::INT AS p_size FROM range(10005) r(i)) TO '{tmp_path}/part.parquet'")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    got = queries.QUERIES["segment_lines"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['segment_lines']})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 999
+    every = segmentation.segmented_lines(checklist_queries._printed(spark, str(tmp_path)), checklist_queries._documents(spark, str(tmp_path)))
+    assert sorted(r["idx"] for r in every.collect()) == list(range(1, 10006))
+
+
 def answers(spark):
     a = lambda key, name, rank="SPECIES", status="ACCEPTED", match="EXACT", family=None, n=1, species=None: (key, (n, name, rank, status, match, 90, species, "Animalia", "Chordata", None, "Cypriniformes", family, None))
     rows = [
