@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from stemma import queries
 from stemma.operators import graph, ordered, relational, spatial
 
 
@@ -101,3 +103,17 @@ def test_graph_operators(spark):
 def test_scores_without_hits(spark, bad):
     rows = spark.createDataFrame([("k", False, True)], "k string, p boolean, g boolean")
     assert tuple(relational.scores(rows, ["k"], "p", "g").first()) == ("k", 0, 1, 0, 0.0, 0.0, 0.0)
+
+
+def test_first_match_of_equal_line_numbers_is_the_tables_first(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE orders AS SELECT i AS o_orderkey FROM range(300) r(i)")
+    con.execute(f"COPY orders TO '{tmp_path}/orders.parquet'")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k in range(3):  # later files are larger, and read earlier by Spark
+        rows = f"SELECT i % 250 AS l_orderkey, i + {k} * 100000 AS l_partkey, i * 7 % 90 AS l_suppkey, (i % 2 + 1)::INT AS l_linenumber FROM range(500 * {k + 1} * {k + 1}) r(i)"
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/lineitem.parquet/part-{k}.parquet'")
+    con.execute(f"SET threads = 1; CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = queries.QUERIES["join_first_match"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['join_first_match']})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
