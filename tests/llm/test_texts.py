@@ -393,6 +393,17 @@ def test_removal(spark, monkeypatch):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_removal_returns_what_stays(spark, tmp_path):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(420))
+    rows = [(0, f"before {passage} after"), (1, f"{passage}é tail"), (2, f"{passage}è other"), (3, None), (4, "short é"), (5, passage), (5, passage)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = substrings.op9_repeats(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(0, "before  after"), (1, "\ufffd tail"), (2, "\ufffd other"), (3, ""), (4, "short é"), (5, ""), (5, "")]
+    want = brute.removed([(t or "").encode() for _, t in rows], 400)
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == sorted((i, *w) for (i, _), w in zip(rows, want, strict=True))
+
+
 def test_interval_expansion():
     rng = random.Random(2)
     for _ in range(150):
